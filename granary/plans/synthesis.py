@@ -90,7 +90,7 @@ def _(t: Tables):
     "gen_labels_multi",
     "SELECT row_id, "
     + ", ".join(
-        f"round({c!r}e0 * coalesce(sum(CASE WHEN NOT {GONE} THEN {VALUE} END), 0), 6) AS y{i}" for i, c in enumerate(COEF)
+        f"round({c!r}e0 * coalesce(sum(CASE WHEN NOT {GONE} THEN {VALUE} END), 0) + 0.0e0, 6) AS y{i}" for i, c in enumerate(COEF)
     )
     + f" FROM ({cells_sql()}) GROUP BY 1",
 )
