@@ -11,7 +11,6 @@ from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 MISSING = -1
 MIN_GAIN = 1e-6
@@ -109,148 +108,100 @@ def histogram(df: DataFrame, bins: Sequence[str], node: str = "node", g: str = "
     )
 
 
-def _shrunk(g: Column, alpha: float) -> Column:
-    """Soft threshold of the L1 penalty."""
-    if not alpha:
-        return g
-    a = F.lit(float(alpha))
-    return F.when(g > a, g - a).when(g < -a, g + a).otherwise(F.lit(0.0))
-
-
-def score(g: Column, h: Column, p: Params) -> Column:
-    t = _shrunk(g, p.alpha)
-    return t * t / F.nullif(h + F.lit(p.reg_lambda), F.lit(0.0))
-
-
 def leaf_weight(g: float, h: float, p: Params) -> float:
     t = max(abs(g) - p.alpha, 0.0) * (1 if g > 0 else -1)
     return -t / (h + p.reg_lambda) if h + p.reg_lambda > 0 else 0.0
 
 
-def candidates(
-    hist: DataFrame,
-    p: Params,
-    categorical: dict[int, str] | None = None,
-    scale: tuple[Column, Column] | None = None,
-    keys: Sequence[str] = ("node",),
-) -> DataFrame:
-    """Every split of every node with its gain, for both directions of missing values.
-
-    Input: ``*keys, target, feature, bin, g, h, n`` with bin -1 for missing. A numeric split sends
-    bins <= ``bin`` left. ``categorical`` maps a feature to ``onehot`` (one category left, the rest
-    right) or ``partition`` (categories in the order of their leaf weight). Windows hold one feature of one
-    node, i.e. at most ``max_bin + 1`` rows.
-    """
-    categorical = categorical or {}
-    keys = list(keys)
-    at = [*keys, "feature", "target"]
-    every = Window.partitionBy(*at)
-    missing = F.col("bin") == MISSING
-    zero = F.lit(0).cast("bigint") if scale else F.lit(0.0)
-
-    onehot = F.col("feature").isin([f for f, k in categorical.items() if k == "onehot"])
-    partition = F.col("feature").isin([f for f, k in categorical.items() if k == "partition"])
-    sg, sh = scale or (F.lit(1.0), F.lit(1.0))
-    ratio = F.col("g") / sg / F.nullif(F.col("h") / sh + F.lit(p.reg_lambda), F.lit(0.0))
-    totals = hist.withColumns(
-        {
-            "tg": F.sum("g").over(every),
-            "th": F.sum("h").over(every),
-            "tn": F.sum("n").over(every),
-            "mg": F.coalesce(F.sum(F.when(missing, F.col("g"))).over(every), zero),
-            "mh": F.coalesce(F.sum(F.when(missing, F.col("h"))).over(every), zero),
-            "rank_key": F.when(partition, ratio).otherwise(F.col("bin").cast("double")),
-        }
-    )
-    present = totals.where(~missing)
-    order = Window.partitionBy(*at).orderBy("rank_key", "bin")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    cumulated = present.withColumns(
-        {
-            "lg": F.when(onehot, F.col("g")).otherwise(F.sum("g").over(upto)),
-            "lh": F.when(onehot, F.col("h")).otherwise(F.sum("h").over(upto)),
-            "position": F.row_number().over(order),
-            "n_bins": F.count(F.lit(1)).over(every),
-            "categories": F.when(onehot, F.array("bin")).when(partition, F.collect_list("bin").over(upto)),
-        }
-    )
-    both = F.array(
-        F.struct(F.lit(False).alias("default_left"), F.col("lg").alias("left_g"), F.col("lh").alias("left_h")),
-        F.struct(
-            F.lit(True).alias("default_left"),
-            (F.col("lg") + F.col("mg")).alias("left_g"),
-            (F.col("lh") + F.col("mh")).alias("left_h"),
-        ),
-    )
-    open_ = cumulated.select(
-        *at, "bin", "position", "n_bins", "categories", "tg", "th", "tn", F.inline(both)
-    ).withColumns({"right_g": F.col("tg") - F.col("left_g"), "right_h": F.col("th") - F.col("left_h")})
-
-    def real(name: str) -> Column:
-        return F.col(name) / (sg if name.endswith("g") else sh)
-
-    gain = (
-        score(real("left_g"), real("left_h"), p)
-        + score(real("right_g"), real("right_h"), p)
-        - score(real("tg"), real("th"), p)
-    )
-    # with several targets in one tree a split is one decision: gains add up, hessians are averaged
-    merged = (
-        open_.withColumn("gain", gain)
-        .groupBy(*keys, "feature", "bin", "default_left", "position", "n_bins")
-        .agg(
-            F.sum("gain").alias("gain"),
-            F.avg(real("left_h")).alias("left_weight"),
-            F.avg(real("right_h")).alias("right_weight"),
-            F.max("categories").alias("categories"),
-            F.sort_array(
-                F.collect_list(F.struct("target", "left_g", "left_h", "right_g", "right_h"))
-            ).alias("sums"),
-        )
-        if "target" in hist.columns and p.multi_strategy == "multi_output_tree"
-        else open_.select(
-            *keys,
-            "feature",
-            "bin",
-            "default_left",
-            "position",
-            "n_bins",
-            gain.alias("gain"),
-            real("left_h").alias("left_weight"),
-            real("right_h").alias("right_weight"),
-            "categories",
-            F.array(F.struct("target", "left_g", "left_h", "right_g", "right_h")).alias("sums"),
-        )
-    )
-    enough = (F.col("left_weight") >= F.lit(p.min_child_weight)) & (F.col("right_weight") >= F.lit(p.min_child_weight))
-    bounded = ~partition | (
-        F.least(F.col("position"), F.col("n_bins") - F.col("position")) <= F.lit(p.max_cat_threshold)
-    )
-    return merged.withColumn("valid", enough & bounded & (F.col("gain") > F.lit(max(p.gamma, MIN_GAIN))))
+def _score(g: str, h: str, p: Params) -> str:
+    """SQL for the squared, L1-shrunk gradient over the regularised hessian."""
+    a = float(p.alpha)
+    t = f"CASE WHEN {g} > {a}D THEN {g} - {a}D WHEN {g} < -{a}D THEN {g} + {a}D ELSE 0D END" if a else g
+    return f"(({t}) * ({t}) / nullif({h} + {float(p.reg_lambda)}D, 0D))"
 
 
 def best_splits(
     hist: DataFrame,
     params: Params | dict | None = None,
     categorical: dict[int, str] | None = None,
-    scale: tuple[Column, Column] | None = None,
+    scale: tuple[float, float] = (1.0, 1.0),
     keys: Sequence[str] = ("node",),
     digits: int | None = None,
 ) -> DataFrame:
-    """The best valid split of each node; a node without one is absent.
+    """The best valid split of each node, with both directions of missing values tried.
 
-    Ties go to the smaller feature, then the smaller bin, then missing to the right. With sums in floating
-    point, ``digits`` rounds gains so that ties do not depend on the order of addition.
+    Input: ``*keys, [target,] feature, bin, g, h, n`` with bin -1 for missing; ``g`` and ``h`` may be integers, to
+    be divided by ``scale``. A numeric split sends bins <= ``bin`` left. ``categorical`` maps a feature to
+    ``onehot`` (one category against the rest) or ``partition`` (categories in the order of their leaf
+    weight, at most ``max_cat_threshold`` of them on the smaller side). A node without a valid split is absent.
+
+    Ties go to the smaller feature, the smaller bin, then missing to the right. With sums in floating point,
+    ``digits`` rounds gains so that ties do not depend on the order of addition. Windows hold one
+    feature of one node: at most ``max_bin + 1`` rows.
     """
     p = Params.of(params)
-    if "target" not in hist.columns:
-        hist = hist.withColumn("target", F.lit(0))
-    cands = candidates(hist, p, categorical, scale, keys).where("valid")
-    gain = F.col("gain") if digits is None else F.round("gain", digits)
-    row = F.struct("feature", "bin", "default_left", gain.alias("gain"), "categories", "sums")
-    rank = F.struct(gain, -F.col("feature"), -F.col("bin"), (~F.col("default_left")).cast("int"))
-    best = cands.groupBy(*keys).agg(F.max_by(row, rank).alias("s"))
-    return best.select(*keys, "s.*")
+    kinds = categorical or {}
+    joint = "target" in hist.columns and p.multi_strategy == "multi_output_tree"
+    key = ", ".join(keys)
+    target = "target" if "target" in hist.columns else "0"
+    at = f"{key}, feature, target"
+    sg, sh = (f"{float(x)!r}D" for x in scale)
+    lam = f"{float(p.reg_lambda)}D"
+
+    def among(kind: str) -> str:
+        return f"feature IN ({', '.join(str(f) for f, k in kinds.items() if k == kind) or 'NULL'})"
+
+    if kinds:
+        rank_key = f"CASE WHEN {among('partition')} THEN g / {sg} / nullif(h / {sh} + {lam}, 0D) ELSE double(bin) END"
+        lg, lh = (f"CASE WHEN {among('onehot')} THEN {c} ELSE sum({c}) OVER upto END" for c in "gh")
+        chosen = f"CASE WHEN {among('onehot')} THEN array(bin) WHEN {among('partition')} THEN collect_list(bin) OVER upto END"
+        small = f"least(position, n_bins - position) <= {p.max_cat_threshold}"
+        bounded = f"coalesce(NOT ({among('partition')}), TRUE) OR {small}"
+        position = "row_number() OVER (PARTITION BY {0} ORDER BY rank_key, bin)".format(at)
+    else:
+        rank_key, lg, lh = "double(bin)", "sum(g) OVER upto", "sum(h) OVER upto"
+        chosen, bounded, position = "CAST(NULL AS ARRAY<INT>)", "TRUE", "0"
+
+    gain = f"""{_score(f"(left_g / {sg})", f"(left_h / {sh})", p)} + {_score(f"((tg - left_g) / {sg})", f"((th - left_h) / {sh})", p)}
+        - {_score(f"(tg / {sg})", f"(th / {sh})", p)}"""
+    sums = "struct(target, left_g, left_h, tg - left_g AS right_g, th - left_h AS right_h)"
+    if joint:
+        # with several targets in one tree a split is one decision: gains add up, hessians are averaged
+        merged = f"""SELECT {key}, feature, bin, default_left, position, n_bins, any_value(categories) AS categories,
+            sum({gain}) AS gain, avg(left_h / {sh}) AS left_weight, avg((th - left_h) / {sh}) AS right_weight,
+            sort_array(collect_list({sums})) AS sums
+          FROM sides GROUP BY {key}, feature, bin, default_left, position, n_bins"""
+    else:
+        merged = f"""SELECT {key}, feature, bin, default_left, position, n_bins, categories, {gain} AS gain,
+            left_h / {sh} AS left_weight, (th - left_h) / {sh} AS right_weight, array({sums}) AS sums FROM sides"""
+    shown = "gain" if digits is None else f"round(gain, {digits})"
+    return hist.sparkSession.sql(
+        f"""
+        WITH totals AS (
+          SELECT {key}, {target} AS target, feature, bin, g, h, {rank_key} AS rank_key,
+            sum(g) OVER every AS tg, sum(h) OVER every AS th,
+            sum(if(bin = {MISSING}, g, 0)) OVER every AS mg, sum(if(bin = {MISSING}, h, 0)) OVER every AS mh,
+            count_if(bin <> {MISSING}) OVER every AS n_bins
+          FROM {{hist}} WINDOW every AS (PARTITION BY {at.replace("target", target)})),
+        cumulated AS (
+          SELECT {at}, bin, tg, th, mg, mh, n_bins, {lg} AS lg, {lh} AS lh, {chosen} AS categories, {position} AS position
+          FROM totals WHERE bin <> {MISSING}
+          WINDOW upto AS (PARTITION BY {at} ORDER BY rank_key, bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        sides AS (
+          SELECT {at}, bin, tg, th, n_bins, position, categories, inline(array(
+            struct(FALSE AS default_left, lg AS left_g, lh AS left_h),
+            struct(TRUE AS default_left, lg + mg AS left_g, lh + mh AS left_h))) FROM cumulated),
+        merged AS ({merged}),
+        valid AS (
+          SELECT *, {shown} AS shown FROM merged
+          WHERE left_weight >= {float(p.min_child_weight)}D AND right_weight >= {float(p.min_child_weight)}D
+            AND ({bounded}) AND gain > {max(float(p.gamma), MIN_GAIN)}D)
+        SELECT {key}, best.* FROM (
+          SELECT {key}, max_by(struct(feature, bin, default_left, shown AS gain, categories, sums),
+            struct(shown, -feature, -bin, int(NOT default_left))) AS best FROM valid GROUP BY {key})
+        """,
+        hist=hist,
+    )
 
 
 def subsample_keep(row_id: Column, round_: int, tree: int, rate: float, seed: int) -> Column:
