@@ -8,8 +8,6 @@ from granary.operators import encode, quantile
 from granary.plans.registry import Tables, query
 from granary.plans import fixtures as fx
 
-KNOWN = F.pmod("p_partkey", F.lit(3)) != 0
-
 
 @query(
     "ordinal_encode",
@@ -24,7 +22,7 @@ KNOWN = F.pmod("p_partkey", F.lit(3)) != 0
 )
 def _(t: Tables):
     """Codes learnt on part of the rows; a type unknown there becomes missing."""
-    train = t.part.where(KNOWN & (F.col("p_type") != "SMALL"))
+    train = t.part.where((F.pmod("p_partkey", F.lit(3)) != 0) & (F.col("p_type") != "SMALL"))
     codes = encode.ordinal_fit(train, ["p_type", "p_brand"])
     return encode.ordinal_transform(t.part.select("p_partkey", "p_size", "p_type", "p_brand"), codes)
 
