@@ -28,7 +28,7 @@ def data(spark):
             "y": F.coalesce(F.col("f0"), F.lit(9.0)) * 2 + F.when(F.col("f2").isin(1, 4), 15.0).otherwise(0.0),
             "is_valid": F.col("id") % 5 == 0,
         }
-    ).withColumns({"b": (F.col("y") > 12).cast("int"), "c": (F.col("f1") / 20).cast("int")}).persist()
+    ).withColumns({"b": (F.col("y") > 12).cast("int"), "c": (F.col("f1") / 20).cast("int")}).repartition(4).persist()
 
 
 def rmse(df, y="y", p="prediction"):
