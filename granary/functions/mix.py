@@ -8,6 +8,8 @@ well, so the sequence does not repeat after 2^31 cells. All products stay below
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,57 +32,40 @@ TARGET_LANE = 3
 SCALE = 1.5
 
 
-def start_pair(cell: Column, lane: int) -> tuple[Column, Column]:
-    low = cell % F.lit(MODULUS)
-    high = int_div(cell, MODULUS)
-    x = (low + high * F.lit(MUL_A) + F.lit(lane * LANE_X + 11)) % F.lit(MODULUS)
-    z = (low * F.lit(MUL_B) + high * F.lit(MUL_C) + F.lit((lane + 1) * LANE_Z)) % F.lit(MODULUS)
-    return x, z
-
-
-def next_pair(x: Column, z: Column, first: int, second: int) -> tuple[Column, Column]:
-    p = F.lit(MODULUS)
-    return (
-        ((x * x) % p * F.lit(first) + z + F.lit(13)) % p,
-        ((z * z) % p * F.lit(second) + x + F.lit(7)) % p,
-    )
-
-
-ROUNDS = ((MUL_A, MUL_B), (MUL_B, MUL_A), (MUL_A, MUL_C))
+def start_pair(cell, lane: int, high):
+    """The first pair of a cell; ``high`` is the cell number divided by the modulus.
 
+    This and the next two functions are plain arithmetic: they take Spark columns, NumPy arrays or
+    Python integers alike.
+    """
+    low = cell % MODULUS
+    x = (low + high * MUL_A + (lane * LANE_X + 11)) % MODULUS
+    z = (low * MUL_B + high * MUL_C + (lane + 1) * LANE_Z) % MODULUS
+    return x, z
 
-def uniform_of(x: Column) -> Column:
-    """U[0, 1)."""
-    return x / F.lit(float(MODULUS))
 
+def next_pair(x, z, first: int, second: int):
+    return ((x * x) % MODULUS * first + z + 13) % MODULUS, ((z * z) % MODULUS * second + x + 7) % MODULUS
 
-def normal_of(x: Column, z: Column) -> Column:
-    """N(0, 1) by the Box-Muller transform."""
-    half = F.lit(2147483648.0)
-    return F.sqrt(F.lit(-2.0) * F.log((x + F.lit(1)) / half)) * F.cos(
-        F.lit(6.283185307179586) * (z + F.lit(1)) / half
-    )
 
+def scrambled(cell, lane: int, high):
+    x, z = start_pair(cell, lane, high)
+    for first, second in ROUNDS:
+        x, z = next_pair(x, z, first, second)
+    return x, z
 
-def pair_arrays(cells: Column, lane: int) -> Column:
-    """Array of scrambled pairs for an array of cell numbers; each round is evaluated once."""
 
-    def begin(cell):
-        x, z = start_pair(cell, lane)
-        return F.struct(x.alias("x"), z.alias("z"))
+ROUNDS = ((MUL_A, MUL_B), (MUL_B, MUL_A), (MUL_A, MUL_C))
 
-    out = F.transform(cells, begin)
-    for multipliers in ROUNDS:
-        out = F.transform(out, _round(multipliers))
-    return out
 
+def uniform_of(x):
+    """U[0, 1)."""
+    return x / float(MODULUS)
 
-def _round(multipliers: tuple[int, int]):
-    def step(pair):
-        x, z = next_pair(pair["x"], pair["z"], *multipliers)
-        return F.struct(x.alias("x"), z.alias("z"))
 
-    return step
+def normal_of(x, z, lib=F):
+    """N(0, 1) by the Box-Muller transform; ``lib`` supplies sqrt, log and cos."""
+    return lib.sqrt(-2.0 * lib.log((x + 1) / 2147483648.0)) * lib.cos(6.283185307179586 * (z + 1) / 2147483648.0)
 
 
 def with_pair(df, cell: Column, lane: int, name: str):
@@ -90,7 +75,7 @@ def with_pair(df, cell: Column, lane: int, name: str):
     runs inside one generated function.
     """
     xn, zn = f"{name}_x", f"{name}_z"
-    x, z = start_pair(cell, lane)
+    x, z = start_pair(cell, lane, int_div(cell, MODULUS))
     df = df.withColumns({xn: x, zn: z})
     for first, second in ROUNDS:
         x, z = next_pair(F.col(xn), F.col(zn), first, second)
@@ -100,17 +85,5 @@ def with_pair(df, cell: Column, lane: int, name: str):
 
 def target_coefficients(n_targets: int) -> list[float]:
     """One coefficient per target, a function of the target number alone."""
-    import math
-
-    out = []
-    for t in range(n_targets):
-        x = (t + TARGET_LANE * LANE_X + 11) % MODULUS
-        z = (t * MUL_B + (TARGET_LANE + 1) * LANE_Z) % MODULUS
-        for first, second in ROUNDS:
-            x, z = (
-                (x * x % MODULUS * first + z + 13) % MODULUS,
-                (z * z % MODULUS * second + x + 7) % MODULUS,
-            )
-        u, w = (x + 1) / 2147483648.0, (z + 1) / 2147483648.0
-        out.append(SCALE * math.sqrt(-2.0 * math.log(u)) * math.cos(6.283185307179586 * w))
-    return out
+    pairs = [scrambled(t, TARGET_LANE, 0) for t in range(n_targets)]
+    return [SCALE * normal_of(x, z, math) for x, z in pairs]

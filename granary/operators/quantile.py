@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,10 @@ def approx_cuts(df: DataFrame, columns: Sequence[str], max_bin: int = MAX_BIN, a
     """The same from mergeable sketches: nothing but sketches is shuffled, one per feature and task."""
     probs = [k / max_bin for k in range(1, max_bin)]
     sketch = F.percentile_approx("value", probs, accuracy or 20 * max_bin)
+    # with many features the hash aggregate would fall back to sorting all cells
+    limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    if int(df.sparkSession.conf.get(limit)) <= len(columns):
+        df.sparkSession.conf.set(limit, str(len(columns) + 1))
     return (
         _cells(df, columns)
         .groupBy("feature")
@@ -62,6 +68,22 @@ def collect_cuts(cuts: DataFrame, columns: Sequence[str]) -> dict[str, list[floa
     return {c: found.get(c, []) for c in columns}
 
 
+def bin_arrays(features: Column, cuts: Sequence[Sequence[float]]) -> Column:
+    """Bins of an array column, as SMALLINT: for matrices too wide for one column per feature."""
+    tables = [np.asarray(c, dtype=np.float64) for c in cuts]
+
+    def bins(values: pa.Array) -> pa.Array:
+        x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+        out = np.empty(x.shape, dtype=np.int16)
+        for j, table in enumerate(tables):
+            out[:, j] = np.searchsorted(table, x[:, j], side="right")
+        out[np.isnan(x)] = MISSING
+        offsets = np.arange(len(values) + 1, dtype=np.int32) * len(tables)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+
+    return F.arrow_udf(bins, "array<smallint>")(features)
+
+
 def apply_cuts(df: DataFrame, cuts: dict[str, list[float]], suffix: str = "_bin") -> DataFrame:
     """Add the bin of each column: the number of cuts <= value, and -1 for a missing value."""
     # a bucket boundary needs at least three ends, so features without cuts are constant zero

@@ -9,12 +9,18 @@ from granary.plans.registry import Tables, query, r6
 from granary.session import scratch_path
 from granary.sources import datasets, files, striped
 
+STORED_BATCH = 4000
 STRIPED_COLUMNS = ("event_id", "batch_idx", "row_in_batch", "value")
 
 
+STORED_SQL = (
+    f"SELECT event_id, event_id // {STORED_BATCH} AS batch_idx, event_id % {STORED_BATCH} AS row_in_batch, value FROM events"
+)
+
+
 def striped_events(t: Tables, n_shards: int = 3) -> str:
     path = scratch_path(t.spark, "striped")
-    striped.write_striped(fx.event_batches(t).select(*STRIPED_COLUMNS), path, n_shards)
+    striped.write_striped(fx.event_batches(t, STORED_BATCH).select(*STRIPED_COLUMNS), path, n_shards)
     return path
 
 
@@ -23,7 +29,7 @@ def striped_events(t: Tables, n_shards: int = 3) -> str:
     f"""
     SELECT event_id, batch_idx, row_in_batch, value,
       row_in_batch // ((count(*) OVER (PARTITION BY batch_idx) + 2) // 3) AS shard_idx
-    FROM ({fx.EVENT_BATCHES_SQL})
+    FROM ({STORED_SQL})
     """,
 )
 def _(t: Tables):
@@ -34,7 +40,7 @@ def _(t: Tables):
     "range_read",
     f"""
     SELECT event_id, batch_idx, row_in_batch, value FROM (
-      SELECT *, count(*) OVER (PARTITION BY batch_idx) AS n FROM ({fx.EVENT_BATCHES_SQL}))
+      SELECT *, count(*) OVER (PARTITION BY batch_idx) AS n FROM ({STORED_SQL}))
     WHERE row_in_batch >= CAST(trunc(n * 0.25e0) AS BIGINT) AND row_in_batch < CAST(trunc(n * 0.5e0) AS BIGINT)
     """,
 )
@@ -46,11 +52,11 @@ def _(t: Tables):
 
 @query(
     "load_all",
-    "SELECT event_id, event_id // 500 AS batch_idx, event_id % 500 AS row_in_batch, value FROM events",
+    STORED_SQL,
 )
 def _(t: Tables):
     """Two stored sets with disjoint batches read as one table."""
-    b = fx.event_batches(t).select(*STRIPED_COLUMNS)
+    b = fx.event_batches(t, STORED_BATCH).select(*STRIPED_COLUMNS)
     paths = []
     for parity in (0, 1):
         path = scratch_path(t.spark, "half")
