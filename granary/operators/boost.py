@@ -152,19 +152,26 @@ def best_splits(
         return f"feature IN ({', '.join(str(f) for f, k in kinds.items() if k == kind) or 'NULL'})"
 
     if kinds:
-        rank_key = f"CASE WHEN {among('partition')} THEN g / {sg} / nullif(h / {sh} + {lam}, 0D) ELSE double(bin) END"
-        lg, lh = (f"CASE WHEN {among('onehot')} THEN {c} ELSE sum({c}) OVER upto END" for c in "gh")
-        chosen = f"CASE WHEN {among('onehot')} THEN array(bin) WHEN {among('partition')} THEN collect_list(bin) OVER upto END"
+        ratio = f"g / {sg} / nullif(h / {sh} + {lam}, 0D)"
+        rank_key = (
+            f"CASE WHEN bin = {MISSING} THEN double('-Infinity') WHEN {among('partition')} THEN {ratio} ELSE double(bin) END"
+        )
+        lg, lh = (f"CASE WHEN {among('onehot')} THEN {c} ELSE u{c} - m{c} END" for c in "gh")
+        present = f"nullif(bin, {MISSING})"
+        gathered = (
+            f"CASE WHEN {among('onehot')} THEN array(bin) WHEN {among('partition')} THEN collect_list({present}) OVER upto END"
+        )
+        position, n_bins = f"count({present}) OVER upto", f"count({present}) OVER every"
         small = f"least(position, n_bins - position) <= {p.max_cat_threshold}"
         bounded = f"coalesce(NOT ({among('partition')}), TRUE) OR {small}"
-        position = "row_number() OVER (PARTITION BY {0} ORDER BY rank_key, bin)".format(at)
     else:
-        rank_key, lg, lh = "double(bin)", "sum(g) OVER upto", "sum(h) OVER upto"
-        chosen, bounded, position = "CAST(NULL AS ARRAY<INT>)", "TRUE", "0"
+        rank_key, lg, lh = "bin", "ug - mg", "uh - mh"
+        gathered, position, n_bins, bounded = "CAST(NULL AS ARRAY<INT>)", "0", "0", "TRUE"
 
     gain = f"""{_score(f"(left_g / {sg})", f"(left_h / {sh})", p)} + {_score(f"((tg - left_g) / {sg})", f"((th - left_h) / {sh})", p)}
         - {_score(f"(tg / {sg})", f"(th / {sh})", p)}"""
     sums = "struct(target, left_g, left_h, tg - left_g AS right_g, th - left_h AS right_h)"
+    shown = "gain" if digits is None else f"round(gain, {digits})"
     if joint:
         # with several targets in one tree a split is one decision: gains add up, hessians are averaged
         merged = f"""SELECT {key}, feature, bin, default_left, position, n_bins, any_value(categories) AS categories,
@@ -174,23 +181,27 @@ def best_splits(
     else:
         merged = f"""SELECT {key}, feature, bin, default_left, position, n_bins, categories, {gain} AS gain,
             left_h / {sh} AS left_weight, (th - left_h) / {sh} AS right_weight, array({sums}) AS sums FROM sides"""
-    shown = "gain" if digits is None else f"round(gain, {digits})"
     return hist.sparkSession.sql(
         f"""
-        WITH totals AS (
-          SELECT {key}, {target} AS target, feature, bin, g, h, {rank_key} AS rank_key,
-            sum(g) OVER every AS tg, sum(h) OVER every AS th,
-            sum(if(bin = {MISSING}, g, 0)) OVER every AS mg, sum(if(bin = {MISSING}, h, 0)) OVER every AS mh,
-            count_if(bin <> {MISSING}) OVER every AS n_bins
-          FROM {{hist}} WINDOW every AS (PARTITION BY {at.replace("target", target)})),
+        WITH ranked AS (
+          SELECT {key}, {target} AS target, feature, bin, g, h, {rank_key} AS rank_key FROM {{hist}}),
+        -- missing sorts first, so one sort by rank serves the running sums and the totals
         cumulated AS (
-          SELECT {at}, bin, tg, th, mg, mh, n_bins, {lg} AS lg, {lh} AS lh, {chosen} AS categories, {position} AS position
-          FROM totals WHERE bin <> {MISSING}
+          SELECT *, sum(g) OVER upto AS ug, sum(h) OVER upto AS uh, {gathered} AS categories, {position} AS position
+          FROM ranked
           WINDOW upto AS (PARTITION BY {at} ORDER BY rank_key, bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        totals AS (
+          SELECT *, sum(g) OVER every AS tg, sum(h) OVER every AS th,
+            sum(if(bin = {MISSING}, g, 0)) OVER every AS mg, sum(if(bin = {MISSING}, h, 0)) OVER every AS mh,
+            {n_bins} AS n_bins
+          FROM cumulated WINDOW every AS (PARTITION BY {at})),
+        lefts AS (
+          SELECT {at}, bin, tg, th, mg, mh, n_bins, position, categories, {lg} AS lg, {lh} AS lh
+          FROM totals WHERE bin <> {MISSING}),
         sides AS (
           SELECT {at}, bin, tg, th, n_bins, position, categories, inline(array(
             struct(FALSE AS default_left, lg AS left_g, lh AS left_h),
-            struct(TRUE AS default_left, lg + mg AS left_g, lh + mh AS left_h))) FROM cumulated),
+            struct(TRUE AS default_left, lg + mg AS left_g, lh + mh AS left_h))) FROM lefts),
         merged AS ({merged}),
         valid AS (
           SELECT *, {shown} AS shown FROM merged

@@ -16,10 +16,18 @@ from granary.operators.scan import running
 
 MAX_BIN = 256
 MISSING = -1
+# sketches an aggregating task may hold for an array column before it sorts instead
+ARRAY_WIDTH = 4096
 
 
-def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per non-missing cell: ``feature, value``."""
+def _cells(df: DataFrame, columns: Sequence[str] | str) -> DataFrame:
+    """One row per non-missing cell: ``feature, value``.
+
+    ``columns`` names the feature columns, or one array column whose positions are the features.
+    """
+    if isinstance(columns, str):
+        cells = df.select(F.posexplode(F.col(columns).cast("array<double>")).alias("feature", "value"))
+        return cells.where(F.col("value").isNotNull() & ~F.isnan("value"))
     pairs = F.array(
         *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]
     )
@@ -27,7 +35,7 @@ def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def exact_cuts(df: DataFrame, columns: Sequence[str], max_bin: int = MAX_BIN, n_buckets: int | None = None) -> DataFrame:
+def exact_cuts(df: DataFrame, columns: Sequence[str] | str, max_bin: int = MAX_BIN, n_buckets: int | None = None) -> DataFrame:
     """``feature, cuts``: distinct discrete quantiles at k/max_bin, k = 1 .. max_bin-1.
 
     Equal values are combined first, then a bucketed running count finds the values at which
@@ -35,7 +43,9 @@ def exact_cuts(df: DataFrame, columns: Sequence[str], max_bin: int = MAX_BIN, n_
     """
     counts = _cells(df, columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
-    upto = running(counts, ["feature"], ["value"], {"upto": ("sum", F.col("n"))}, n_buckets).join(totals, "feature")
+    upto = running(counts, ["feature"], ["value"], {"upto": ("sum", F.col("n"))}, n_buckets)
+    # one row per feature: the one side here whose size is known to be small
+    upto = upto.join(F.broadcast(totals), "feature")
     bins = F.lit(max_bin)
     reached = F.least(int_div(F.col("upto") * bins, F.col("total")), bins - F.lit(1))
     before = int_div((F.col("upto") - F.col("n")) * bins, F.col("total"))
@@ -43,14 +53,15 @@ def exact_cuts(df: DataFrame, columns: Sequence[str], max_bin: int = MAX_BIN, n_
     return crossed.groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("cuts"))
 
 
-def approx_cuts(df: DataFrame, columns: Sequence[str], max_bin: int = MAX_BIN, accuracy: int | None = None) -> DataFrame:
+def approx_cuts(df: DataFrame, columns: Sequence[str] | str, max_bin: int = MAX_BIN, accuracy: int | None = None) -> DataFrame:
     """The same from mergeable sketches: nothing but sketches is shuffled, one per feature and task."""
     probs = [k / max_bin for k in range(1, max_bin)]
     sketch = F.percentile_approx("value", probs, accuracy or 20 * max_bin)
     # with many features the hash aggregate would fall back to sorting all cells
     limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    if int(df.sparkSession.conf.get(limit)) <= len(columns):
-        df.sparkSession.conf.set(limit, str(len(columns) + 1))
+    wide = ARRAY_WIDTH if isinstance(columns, str) else len(columns)
+    if int(df.sparkSession.conf.get(limit)) <= wide:
+        df.sparkSession.conf.set(limit, str(wide + 1))
     return (
         _cells(df, columns)
         .groupBy("feature")
@@ -58,11 +69,11 @@ def approx_cuts(df: DataFrame, columns: Sequence[str], max_bin: int = MAX_BIN, a
     )
 
 
-def quantile_cuts(df: DataFrame, columns: Sequence[str], max_bin: int = MAX_BIN, exact: bool = False) -> DataFrame:
+def quantile_cuts(df: DataFrame, columns: Sequence[str] | str, max_bin: int = MAX_BIN, exact: bool = False) -> DataFrame:
     return exact_cuts(df, columns, max_bin) if exact else approx_cuts(df, columns, max_bin)
 
 
-def collect_cuts(cuts: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+def collect_cuts(cuts: DataFrame, columns: Sequence) -> dict:
     """Cuts as plain numbers: at most max_bin - 1 per feature. A feature without values has none."""
     found = {r["feature"]: list(r["cuts"]) for r in cuts.collect()}
     return {c: found.get(c, []) for c in columns}

@@ -183,17 +183,17 @@ def _(t: Tables):
 
 
 def documents(t: Tables):
-    """One result document per user: options, timers per event type and the scores in event order.
+    """One result document per fifty events: options, timers per event type and scores in event order.
 
-    A run with a very long score list is one document by nature; its size is that of the run's log.
+    A document holds the log of one run, so its size is bounded by the run, here by fifty events.
     """
-    e = t.events
-    per_name = e.groupBy("user_id", "event_type").agg(
+    e = t.events.withColumn("run", fx.batch_number("event_id", 50).cast("string"))
+    per_name = e.groupBy("run", "event_type").agg(
         F.sum("value").alias("total"),
         F.count(F.lit(1)).alias("n"),
         F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("scores"),
     )
-    per_run = per_name.groupBy("user_id").agg(
+    per_run = per_name.groupBy("run").agg(
         F.map_from_entries(
             F.collect_list(F.struct("event_type", F.create_map(F.lit("total"), F.col("total"))))
         ).alias("timer"),
@@ -201,7 +201,7 @@ def documents(t: Tables):
         F.sum("n").alias("n"),
     )
     return per_run.select(
-        F.col("user_id").cast("string").alias("run"),
+        "run",
         F.struct(F.col("n").alias("n_samples_per_batch"), F.lit(8).cast("bigint").alias("max_depth")).alias("opts"),
         "timer",
         F.create_map(F.lit("Train"), F.col("metrics")).alias("evals"),
@@ -217,9 +217,9 @@ def _stored_documents(t: Tables):
 @query(
     "results_scan",
     """
-    SELECT CAST(user_id AS VARCHAR) AS run, event_type AS name, 'total' AS proc, round(sum(value), 6) AS seconds,
+    SELECT CAST(event_id // 50 AS VARCHAR) AS run, event_type AS name, 'total' AS proc, round(sum(value), 6) AS seconds,
       max(n) AS n_samples_per_batch, 8::BIGINT AS max_depth
-    FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY 1, 2
+    FROM (SELECT *, count(*) OVER (PARTITION BY event_id // 50) AS n FROM events) GROUP BY 1, 2
     """,
 )
 def _(t: Tables):
@@ -230,8 +230,8 @@ def _(t: Tables):
 @query(
     "eval_rounds",
     """
-    SELECT CAST(user_id AS VARCHAR) AS run, 'Train' AS dataset, event_type AS metric,
-      CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS INTEGER) AS round,
+    SELECT CAST(event_id // 50 AS VARCHAR) AS run, 'Train' AS dataset, event_type AS metric,
+      CAST(row_number() OVER (PARTITION BY event_id // 50, event_type ORDER BY event_id) - 1 AS INTEGER) AS round,
       value AS score FROM events
     """,
 )

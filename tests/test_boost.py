@@ -168,6 +168,17 @@ def test_synthetic_data_trains(spark):
     assert model.history[1]["train", "rmse"] < model.history[0]["train", "rmse"]
 
 
+def test_array_column_equals_single_columns(spark, tmp_path):
+    df = synth.batches(synth.row_range(spark, 300), 100, 4, sparsity=0.2).withColumn("y", F.get("labels", F.lit(0)))
+    wide = df.select(*[F.get("features", F.lit(i)).alias(f"x{i}") for i in range(4)], "y")
+    a = train_gbt(df, "features", "y", FAST, 2, exact_cuts=True)
+    b = train_gbt(wide, [f"x{i}" for i in range(4)], "y", FAST, 2, exact_cuts=True)
+    assert [(t.feature, t.bin, t.weight) for t in a.trees] == [(t.feature, t.bin, t.weight) for t in b.trees]
+    save_model(a, spark, str(tmp_path / "m"))
+    again = load_model(spark, str(tmp_path / "m"))
+    assert rmse(predict(df, again)) == pytest.approx(a.history[-1]["train", "rmse"])
+
+
 def test_params_are_checked():
     assert boost.Params.of({"lambda": 2.0, "eta": None}).reg_lambda == 2.0
     for bad in ({"objective": "rank"}, {"grow_policy": "x"}, {"objective": "multi:softprob"}):
