@@ -23,6 +23,8 @@ def write_striped(df: DataFrame, path: str, n_shards: int) -> None:
         f"{path}/data"
     )
     shard_manifest(df, n_shards).repartitionByRange("batch_idx").write.parquet(f"{path}/manifest")
+    # the schema is kept beside the data, so that a table without rows can be read as well
+    df.sparkSession.createDataFrame([], sharded.schema).coalesce(1).write.parquet(f"{path}/schema")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -32,25 +34,23 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Rows per stored file, from the file metadata column."""
-    df = spark.read.parquet(f"{path}/data")
-    return _typed(
-        df.groupBy("batch_idx", "shard_idx", F.col("_metadata.file_name").alias("file")).agg(
-            F.count(F.lit(1)).alias("n_rows")
-        )
+    df = _data(spark, path)
+    return df.groupBy("batch_idx", "shard_idx", F.col("_metadata.file_name").alias("file")).agg(
+        F.count(F.lit(1)).alias("n_rows")
     )
 
 
-def _typed(df: DataFrame) -> DataFrame:
-    """Partition columns are inferred as INT; give them the type they were written with."""
-    return df.withColumns({c: F.col(c).cast("bigint") for c in ("batch_idx", "shard_idx")})
+def _data(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows with the column types they were written with."""
+    return spark.read.schema(spark.read.parquet(f"{path}/schema").schema).parquet(f"{path}/data")
 
 
 def read_striped(spark: SparkSession, path: str, batch: int | None = None) -> DataFrame:
     """All rows, or one batch by partition pruning. Rows carry their position; sort only if needed."""
-    df = spark.read.parquet(f"{path}/data")
+    df = _data(spark, path)
     if batch is not None:
         df = df.where(F.col("batch_idx") == batch)
-    return _typed(df)
+    return df
 
 
 def read_range(spark: SparkSession, path: str, batch: int, begin: int, end: int) -> DataFrame:
@@ -64,13 +64,13 @@ def read_range(spark: SparkSession, path: str, batch: int, begin: int, end: int)
         raise ValueError(f"no batch {batch}")
     offsets = [r["shard_begin"] for r in shards] + [shards[-1]["batch_rows"]]
     first, _, last, _ = shard_span(offsets, begin, end)
-    df = spark.read.parquet(f"{path}/data").where(
+    df = _data(spark, path).where(
         (F.col("batch_idx") == batch)
         & F.col("shard_idx").between(first, last)
         & (F.col("row_in_batch") >= begin)
         & (F.col("row_in_batch") < end)
     )
-    return _typed(df)
+    return df
 
 
 def range_of_each(spark: SparkSession, path: str, first: float, last: float) -> DataFrame:

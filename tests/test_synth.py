@@ -120,6 +120,13 @@ def test_range_read(spark, tmp_path, n_shards):
     assert "row_in_batch" in plan.split("PushedFilters")[1]
 
 
+def test_empty_table_can_be_read(spark, tmp_path):
+    df = split.with_batches(synth.row_range(spark, 10), "row_id", 5)
+    striped.write_striped(df.where("row_id < 0"), str(tmp_path / "e"), 2)
+    striped.write_striped(df, str(tmp_path / "f"), 2)
+    assert striped.load_all(spark, [str(tmp_path / "e"), str(tmp_path / "f")]).count() == 10
+
+
 def test_file_manifest_counts_all_rows(spark, tmp_path):
     path = str(tmp_path / "s")
     striped.write_striped(split.with_batches(synth.row_range(spark, 90), "row_id", 30), path, 2)
