@@ -8,8 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# AQE splits skewed join partitions and picks partition counts at run time; the
-# 32 MB advisory size keeps a coalesced shuffle partition small enough to sort in memory.
+# AQE splits skewed join partitions and picks partition counts at run time.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
