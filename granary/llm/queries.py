@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.llm import chat, decontam, exact
+from granary.llm import automaton, chat, decontam, exact, refine
 from granary.llm.registry import query, table
 
 
@@ -95,3 +95,35 @@ _SEED_SQL = " UNION ALL ".join(
 def op6_decontaminate(spark, sf_dir):
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")
+
+
+_SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+@query(
+    "op2_substring_dedup",
+    f"""
+    WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+    p AS (SELECT doc_id, w, i, sha256(array_to_string(w[i + 1 : i + {automaton.WINDOW}], ' ')) AS k
+          FROM d, unnest(range(len(w) - {automaton.WINDOW - 1})) AS u(i)),
+    r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM p),
+    x AS (SELECT d.doc_id, j, w[j + 1] AS word, coalesce(again, FALSE)::INT AS again
+          FROM d CROSS JOIN unnest(range(len(w))) AS u(j) LEFT JOIN r ON r.doc_id = d.doc_id AND r.i = j),
+    c AS (SELECT doc_id, j, word, max(again) OVER (PARTITION BY doc_id ORDER BY j ROWS {automaton.WINDOW - 1} PRECEDING) AS gone FROM x)
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed,
+      sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (gone = 0), '')) AS kept_sha256
+    FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id, d.w
+    """,
+)
+def op2_substring_dedup(spark, sf_dir):
+    found = automaton.dedup_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf_dir):
+    found = refine.dedup_bytes(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
