@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.llm import automaton, chat, decontam, exact, refine
+from granary.llm import automaton, chat, decontam, exact, langid, refine, toxic
 from granary.llm.registry import query, table
 
 
@@ -127,3 +127,24 @@ def op5_suffix_dedup(spark, sf_dir):
         "doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def _fold(n: int):
+    """The remainder that splits documents into those learned from and those held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang").filter(_fold(3) != 1))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxic.fit(docs.filter(_fold(5) != 0), table(spark, sf_dir, "labels").filter(_fold(5) != 0))
+    found = toxic.with_scores(docs.select("doc_id", "text"), model, "score")
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
