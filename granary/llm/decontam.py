@@ -13,7 +13,7 @@ null ids are safe.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Masks over consecutive tokens: 1 counts, 0 is ignored. Fixed values.
@@ -38,27 +38,32 @@ def _seeds(rows: DataFrame, at: str) -> DataFrame:
     return places.withColumn("seed", F.explode(F.array(*keys)))
 
 
-def _agreement(rows: DataFrame) -> DataFrame:
-    """Lay item tokens ``g`` over document tokens ``h`` along ``diagonal``; add the best window's agreement."""
-    m, n = F.size("g"), F.size("h")
-    rows = rows.withColumn("skip", F.greatest(F.lit(0), -F.col("diagonal")))
-    rows = rows.withColumn("n_aligned", F.least(m - F.col("skip"), n - F.col("diagonal") - F.col("skip")))
-    ours = F.slice("h", F.col("diagonal") + F.col("skip") + 1, F.col("n_aligned"))
-    theirs = F.slice("g", F.col("skip") + 1, F.col("n_aligned"))
-    rows = rows.withColumn("same", F.zip_with(ours, theirs, lambda a, b: F.when(a == b, 1).otherwise(0)))
-    rows = rows.withColumn("width", F.least(F.lit(WINDOW), m))
-    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
-    # running totals, so that a window is one difference
-    sums = F.aggregate(
-        "same", F.array(F.lit(0)), lambda s, v: F.concat(s, F.array(F.element_at(s, -1) + v))
-    )
-    rows = rows.withColumn("sums", sums)
-    best = F.array_max(
-        F.transform(F.sequence(F.lit(0), F.col("n_aligned") - F.col("width")), lambda i: F.get("sums", i + F.col("width")) - F.get("sums", i))
-    )
-    return rows.withColumn("n_matched", total(F.col("same"))).withColumn(
-        "best", F.when(F.col("n_aligned") >= F.col("width"), best).otherwise(0)
-    )
+def _aligned(rows: DataFrame) -> DataFrame:
+    """Item tokens ``g`` laid over document tokens ``h`` along ``diagonal``: one row per pair and diagonal, and whether each aligned place agrees."""
+    pair = ["doc_id", "text_key", "item_id", "diagonal"]
+    skip = F.greatest(F.lit(0), -F.col("diagonal"))
+    n_aligned = F.least(F.size("g") - skip, F.size("h") - F.col("diagonal") - skip)
+    ours = F.slice("h", F.col("diagonal") + skip + 1, n_aligned)
+    theirs = F.slice("g", skip + 1, n_aligned)
+    same = F.zip_with(ours, theirs, lambda a, b: a == b)
+    rows = rows.select(*pair, F.size("g").alias("n_item"), same.alias("same"))
+    return rows.groupBy(*pair).agg(F.first("n_item").alias("n_item"), F.first("same").alias("same"))
+
+
+def _agreement(aligned: DataFrame) -> DataFrame:
+    """The agreement of each diagonal's best window. Windows run over one item's length."""
+    pair = ["doc_id", "text_key", "item_id", "diagonal"]
+    width = F.least(F.lit(WINDOW), F.col("n_item"))
+    places = aligned.select(*pair, "n_item", F.posexplode("same").alias("at", "equal")).withColumn("equal", F.col("equal").cast("int"))
+    along = Window.partitionBy(*pair).orderBy("at")
+    # items shorter than WINDOW count as a whole, which the same frame holds
+    sums = places.withColumn("in_window", F.sum("equal").over(along.rowsBetween(1 - WINDOW, 0)))
+    whole = F.max(F.when(F.col("at") + 1 >= width, F.col("in_window")))
+    found = sums.groupBy(*pair).agg(
+        F.first("n_item").alias("n_item"), F.count(F.lit(1)).cast("int").alias("n_aligned"),
+        F.sum("equal").cast("int").alias("n_matched"), whole.cast("int").alias("best"),
+    )
+    return found.filter(F.col("best") >= F.ceil(width * AGREE))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -83,8 +88,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
         back = ours.distinct().alias("ours")
         same = F.col("hits.doc_id").eqNullSafe(F.col("ours.doc_id")) & (F.col("hits.text_key") == F.col("ours.text_key"))
         found = hits.join(back, same).select("hits.*", "ours.h").join(whole, "item_id")
-    found = _agreement(found).filter(F.col("best") >= F.ceil(F.col("width") * AGREE))
-    best = F.max(F.struct("best", "n_matched", "n_aligned", -F.col("diagonal"), F.size("g").alias("n_item"))).alias("top")
+    found = _agreement(_aligned(found))
+    best = F.max(F.struct("best", "n_matched", "n_aligned", -F.col("diagonal"), F.col("n_item").alias("n_item"))).alias("top")
     return found.groupBy(*pair).agg(best).select(
         *pair, (-F.col("top.col4")).cast("int").alias("doc_begin"), F.col("top.n_item").alias("n_item"),
         F.col("top.n_aligned").alias("n_aligned"), F.col("top.n_matched").alias("n_matched"), F.col("top.best").alias("best"),

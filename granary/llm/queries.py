@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.llm import automaton, chat, decontam, exact, langid, refine, toxic
+from granary.llm import automaton, chat, decontam, exact, jaccard, langid, pack, refine, toxic
 from granary.llm.registry import query, table
 
 
@@ -148,3 +148,33 @@ def op7_toxicity(spark, sf_dir):
     model = toxic.fit(docs.filter(_fold(5) != 0), table(spark, sf_dir, "labels").filter(_fold(5) != 0))
     found = toxic.with_scores(docs.select("doc_id", "text"), model, "score")
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_packing")
+def op1_packing(spark, sf_dir):
+    packing = pack.pack(table(spark, sf_dir, "documents"))
+    cut = packing.pieces.select("piece_key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return cut.join(packing.plan, "piece_key").drop("piece_key")
+
+
+@query(
+    "op4_jaccard_join",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {jaccard.SHINGLE}], ' ') AS g
+          FROM d, unnest(range(greatest(1, len(w) - {jaccard.SHINGLE - 1}))) AS u(i) WHERE len(w) > 0),
+    z AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b, x.k AS ka, y.k AS kb FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b
+          WHERE both >= {jaccard.THRESHOLD} * (x.n + y.n - both)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+    n AS (SELECT a, count(*) AS n_links, count(DISTINCT kb) FILTER (ka <> kb) AS n_texts FROM l GROUP BY a)
+    SELECT d.doc_id, class_id, coalesce(min(d.doc_id) OVER (PARTITION BY z.k, z.k IS NULL, CASE WHEN z.k IS NULL THEN d.doc_id END), d.doc_id) AS copy_id,
+      CASE WHEN z.k IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY z.k) END AS n_copies,
+      coalesce(n_texts, 0) AS n_texts, coalesce(n_links, 0) AS n_links
+    FROM d JOIN c ON c.a = d.doc_id LEFT JOIN z USING (doc_id) LEFT JOIN n ON n.a = d.doc_id
+    """,
+)
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
