@@ -164,9 +164,9 @@ def op1_packing(spark, sf_dir):
     s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {jaccard.SHINGLE}], ' ') AS g
           FROM d, unnest(range(greatest(1, len(w) - {jaccard.SHINGLE - 1}))) AS u(i) WHERE len(w) > 0),
     z AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
-    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
     l AS (SELECT a, b, x.k AS ka, y.k AS kb FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b
-          WHERE both >= {jaccard.THRESHOLD} * (x.n + y.n - both)),
+          WHERE common >= {jaccard.THRESHOLD} * (x.n + y.n - common)),
     r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
     c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
     n AS (SELECT a, count(*) AS n_links, count(DISTINCT kb) FILTER (ka <> kb) AS n_texts FROM l GROUP BY a)
