@@ -34,8 +34,8 @@ def digest_of(text):
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
-    """``rows`` left-joined with ``groups`` (one row per key; ``size``: rows of the key), safe for hot keys.
+def join_counted(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``groups`` (one row per key; ``size``: rows of the key), safe for hot keys.
 
     Keys that hold a thousandth of all rows are at most a thousand, so they are broadcast and their
     rows stay where they are; all others take a sort-merge join.
@@ -45,7 +45,7 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Dat
     heavy = groups.filter(is_heavy)
     light = groups.filter(~is_heavy)
     near = rows.join(F.broadcast(heavy), key, "inner")
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light.hint("merge"), key, "left")
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light.hint("merge"), key, how)
     return near.unionByName(rest)
 
 

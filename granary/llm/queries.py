@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.llm import automaton, chat, decontam, exact, jaccard, langid, pack, refine, toxic
+from granary.llm import automaton, chat, decontam, exact, jaccard, langid, pack, ppm, refine, toxic
 from granary.llm.registry import query, table
 
 
@@ -178,3 +178,10 @@ def op1_packing(spark, sf_dir):
 )
 def op4_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_lm_score")
+def op8_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ppm.scores(docs, ppm.train(docs.filter(_fold(5) != 1)))
+    return found.select("doc_id", (_fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

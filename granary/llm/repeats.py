@@ -6,7 +6,8 @@
 2. Of the texts with such anchors, the pieces around them (the windows of one anchor, with all that these cover) are
    cut out and sent to one task per anchor, where a solver compares them.
 3. Anchors with ``hot`` places or more would make one task large. Their windows are sent one by one under a 128-bit
-   digest instead, aggregated before the shuffle, so no task ever holds more than ``hot`` pieces of an anchor.
+   digest instead and aggregated before the shuffle, so no task ever holds more than ``hot`` pieces of an anchor.
+   What a text repeats itself is one row with all its places, at every step.
 4. The repeated windows of each text are united and taken out of the text.
 
 Intermediate tables are written to the shared folder. Rows that share a doc_id count as the same place. Null texts are
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import words as W
+from granary.llm.exact import join_counted
 from granary.session import scratch_path
 
 NO_ID = -(2**63)
@@ -32,12 +34,16 @@ NO_ID = -(2**63)
 
 @dataclass(frozen=True)
 class Piece:
-    """The windows of one anchor at one place: the first unit, the number of windows, the units that they cover."""
+    """The windows of one anchor at one place: the first unit, the number of windows, the units that they cover.
+
+    ``again``: first units (32 bits each) of further places in the same text with this content.
+    """
 
     doc_id: int
     begin: int
     count: int
     content: bytes
+    again: bytes | None = None
 
 
 #: Gets the pieces of some anchors as (anchor, piece), sorted by anchor and place; returns (piece, repeated windows).
@@ -68,6 +74,9 @@ def _write(df: DataFrame, label: str) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, kind: Kind) -> DataFrame:
+    """(key, doc_id, n, begin, count, more): each anchor of each text once; ``more``: its further places (begin and count of 32 bits)."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("begin", pa.int32()), ("count", pa.int32()), ("more", pa.binary())])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
@@ -78,11 +87,20 @@ def _anchors(docs: DataFrame, kind: Kind) -> DataFrame:
                 else:
                     units = W.byte_values(data)
                 text, begin, count, key = W.anchors(units, at, kind.gram, kind.window)
-                ids = part.column("doc_id").to_numpy()[text]
-                columns = [key, ids, begin.astype(np.int32), count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "begin", "count"])
-
-    return docs.mapInArrow(run, "key long, doc_id long, begin int, count int")
+                order = np.lexsort((begin, key, text))
+                text, key = text[order], key[order]
+                places = np.stack([begin[order], count[order]], axis=1).astype(np.int32)
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(key)))
+                more = np.full(len(first), None, object)
+                for k in np.flatnonzero(n > 1):
+                    more[k] = places[first[k] + 1 : first[k] + n[k]].tobytes()
+                columns = [key[first], part.column("doc_id").to_numpy()[text[first]], n, places[first, 0], places[first, 1], more]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return docs.mapInArrow(run, "key long, doc_id long, n int, begin int, count int, more binary")
 
 
 def _units(text: str | None, kind: Kind):
@@ -95,33 +113,65 @@ def _content(units, begin: int, end: int) -> bytes:
     return b" ".join(part) if isinstance(part, list) else part
 
 
-def _cut(marked: DataFrame, kind: Kind) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("count", pa.int32()), ("hot", pa.bool_()), ("content", pa.binary())])
+_PIECE = "key long, doc_id long, begin int, count int, hot boolean, content binary, again binary"
+_PIECE_ARROW = pa.schema(
+    [("key", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("count", pa.int32()), ("hot", pa.bool_()), ("content", pa.binary()), ("again", pa.binary())]
+)
+
+
+def _pieces_of(units, doc_id: int, marks: Iterable[tuple], kind: Kind) -> Iterator[tuple]:
+    """Rows of ``_PIECE`` of one text; each content once."""
+    for key, hot, begin, count, more in marks:
+        places = [(begin, count)]
+        if more:
+            places += np.frombuffer(more, np.int32).reshape(-1, 2).tolist()
+        found: dict[bytes, list[int]] = {}
+        if hot:
+            for begin, count in places:
+                for k in range(begin, begin + count):
+                    digest = hashlib.blake2b(_content(units, k, k + kind.window), digest_size=16).digest()
+                    found.setdefault(digest, []).append(k)
+        elif more is None:
+            yield key, doc_id, begin, count, False, _content(units, begin, begin + count + kind.window - 1), None
+            continue
+        else:
+            sizes = {}
+            for begin, count in places:
+                content = _content(units, begin, begin + count + kind.window - 1)
+                found.setdefault(content, []).append(begin)
+                sizes[content] = count
+        for content, begins in found.items():
+            again = np.array(begins[1:], np.int32).tobytes() if len(begins) > 1 else None
+            if hot:
+                yield int.from_bytes(content[:8], "little", signed=True), doc_id, begins[0], 1, True, content, again
+            else:
+                yield key, doc_id, begins[0], sizes[content], False, content, again
 
+
+def _cut(marked: DataFrame, kind: Kind) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
             texts, ids, marks = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("marks")
+            fields = marks.flatten()
+            fields = [fields.field(n).to_pylist() for n in ("key", "hot", "begin", "count", "more")]
+            ends = np.cumsum(marks.value_lengths().to_numpy()).tolist()
+            done = 0
             for i, doc_id in enumerate(ids):
                 units = _units(texts[i].as_py(), kind)
-                for mark in marks[i].as_py():
-                    begin, count, key = mark["begin"], mark["count"], mark["key"]
-                    if not mark["hot"]:
-                        rows.append((key, doc_id, begin, count, False, _content(units, begin, begin + count + kind.window - 1)))
-                        size += len(rows[-1][5])
-                    else:
-                        for k in range(begin, begin + count):
-                            digest = hashlib.blake2b(_content(units, k, k + kind.window), digest_size=16).digest()
-                            rows.append((int.from_bytes(digest[:8], "little", signed=True), doc_id, k, 1, True, digest))
-                            size += 16
+                own = zip(*(f[done : ends[i]] for f in fields), strict=True)
+                done = ends[i]
+                for row in _pieces_of(units, doc_id, own, kind):
+                    rows.append(row)
+                    size += 32 + len(row[5])
                     if size > 4_000_000:
-                        yield _rows(rows, schema)
+                        yield _rows(rows, _PIECE_ARROW)
                         rows, size = [], 0
         if rows:
-            yield _rows(rows, schema)
+            yield _rows(rows, _PIECE_ARROW)
 
-    return marked.mapInArrow(run, "key long, doc_id long, begin int, count int, hot boolean, content binary")
+    return marked.mapInArrow(run, _PIECE)
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -140,6 +190,13 @@ def _solve(pieces: DataFrame, kind: Kind) -> DataFrame:
 
     def solved(shard: list[tuple[int, Piece]]) -> pa.RecordBatch:
         ids, begins, ends = [], [], []
+        for _, piece in shard:
+            if piece.again:  # what a text repeats itself is repeated whatever else there is
+                again = np.frombuffer(piece.again, np.int32)
+                again = again if kind.keep_first else np.append(again, piece.begin)
+                ids.append(np.full(len(again), piece.doc_id, np.int64))
+                begins.append(again)
+                ends.append(again + piece.count + kind.window - 1)
         for piece, flags in kind.solver(shard):
             first, last = _runs(flags)
             ids.append(np.full(len(first), piece.doc_id, np.int64))
@@ -152,7 +209,7 @@ def _solve(pieces: DataFrame, kind: Kind) -> DataFrame:
         shard: list[tuple[int, Piece]] = []
         size = 0
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("key", "doc_id", "begin", "count", "content")]
+            columns = [batch.column(n).to_pylist() for n in ("key", "doc_id", "begin", "count", "content", "again")]
             for key, *place in zip(*columns, strict=True):
                 if size > kind.shard and shard[-1][0] != key:
                     yield solved(shard)
@@ -170,26 +227,60 @@ def _hot_windows(pieces: DataFrame, kind: Kind) -> DataFrame:
     """Repeated windows among those that were sent by digest."""
     window = ["key", "content"]
     place = F.struct("doc_id", "begin")
-    groups = pieces.groupBy(*window).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n"))
-    groups = groups.filter(F.col("low") != F.col("high"))
-    # AQE splits the larger side when a digest is hot; the other has one row per digest
-    found = pieces.join(groups, window)
+    groups = pieces.groupBy(*window).agg(
+        F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.col("again").isNotNull()).alias("within"), F.count(F.lit(1)).alias("n")
+    )
+    repeated = (F.col("low") != F.col("high")) | F.col("within")
+    groups = _write(groups.filter(repeated), "digests")
+    found = join_counted(pieces, groups, window, "n", "inner")
     if kind.keep_first:
-        found = found.filter(place != F.col("low"))
-    return found.select("doc_id", "begin", (F.col("begin") + kind.window).alias("end"))
+        begins = F.when(place == F.col("low"), F.array().cast("array<int>")).otherwise(F.array("begin"))
+    else:
+        begins = F.array("begin")
+    return found.select("doc_id", begins.alias("begins"), "again")
+
+
+def _spread(found: DataFrame, kind: Kind) -> DataFrame:
+    """Spans of windows that were found by digest, neighbours in a batch united."""
+    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = [], []
+            for doc_id, begins, again in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "begins", "again")), strict=True):
+                own = np.array(begins, np.int64)
+                if again:
+                    own = np.append(own, np.frombuffer(again, np.int32))
+                ids.append(np.full(len(own), doc_id, np.int64))
+                at.append(own)
+            if not ids:
+                continue
+            ids, at = np.concatenate(ids), np.concatenate(at)
+            order = np.lexsort((at, ids))
+            ids, at = ids[order], at[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + kind.window)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1 if len(at) else first
+            columns = [ids[first], at[first].astype(np.int32), (at[last] + kind.window).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return found.mapInArrow(run, "doc_id long, begin int, end int")
 
 
 def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     """(doc_id, begin, end) of units covered by repeated windows; spans of a text may overlap."""
     docs = _documents(docs)
     found = _write(_anchors(docs, kind), "anchors")
-    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
-    marks = found.join(counts, "key").groupBy("doc_id").agg(
-        F.collect_list(F.struct("begin", "count", "key", (F.col("n") >= kind.hot).alias("hot"))).alias("marks")
+    counts = found.groupBy("key").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("rows"))
+    counts = _write(counts.filter(F.col("places") >= 2), "anchor-counts")
+    marks = join_counted(found, counts, "key", "rows", "inner").groupBy("doc_id").agg(
+        F.collect_list(F.struct("key", (F.col("places") >= kind.hot).alias("hot"), "begin", "count", "more")).alias("marks")
     )  # one text's own anchors, so no more than the text is long
     pieces = _write(_cut(docs.join(marks, "doc_id"), kind), "pieces")
     usual = _solve(pieces.filter(~F.col("hot")).drop("hot"), kind)
-    return _write(usual.unionByName(_hot_windows(pieces.filter("hot").drop("hot"), kind)), "spans")
+    hot = _spread(_hot_windows(pieces.filter("hot").drop("hot"), kind), kind)
+    return _write(usual.unionByName(hot), "spans")
 
 
 KEPT = "doc_id long, n_units long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
