@@ -6,7 +6,7 @@ index lacks are appended with the smallest id of the batch as the row that stays
 appended as further counts for the row that already stays. The index is append-only, so a lost
 executor costs a retried task and a rerun batch is recognised by its name.
 
-Nulls count as empty text. An empty batch appends nothing. Copies that arrive later never replace the row that
+Null text counts as empty; a null id stays only where no copy has an id. An empty batch appends nothing. Copies that arrive later never replace the row that
 stays, so ids should rise from batch to batch if the smallest id of all is to stay.
 """
 
@@ -104,10 +104,13 @@ def dedup(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFrame:
         step = -(-(high - low + 1) // batches)
         for k in range(batches):
             begin = low + k * step
-            part = digests.filter((F.col("doc_id") >= begin) & (F.col("doc_id") < begin + step))
-            index.add(part, f"{begin}-{begin + step}")
+            part = (F.col("doc_id") >= begin) & (F.col("doc_id") < begin + step)
+            # rows without an id come first
+            index.add(digests.filter(part | F.col("doc_id").isNull() if k == 0 else part), f"{begin}-{begin + step}")
+    elif digests.limit(1).count():
+        index.add(digests, "no ids")
     found = join_counted(digests, index.known(), "digest", "group_size")
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest")
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def buckets_for(spark: SparkSession) -> int:

@@ -49,21 +49,22 @@ def repeated(contents: list[bytes], window: int, q: int = Q) -> list[np.ndarray]
     data = np.frombuffer(b"".join(contents) + bytes(q), np.uint8)
     sizes = np.array([len(c) for c in contents])
     n = int(sizes.sum())
-    end = np.repeat(np.cumsum(sizes), sizes)
+    end = np.repeat(np.cumsum(sizes), sizes).astype(np.int32)
     grams = np.zeros(n, np.uint64)
     for j in range(q):
         grams = (grams << np.uint64(8)) | data[j : j + n]
     active = np.flatnonzero(np.arange(n) + q <= end)
-    bucket = np.zeros(n, np.int64)
+    bucket = np.zeros(n, np.int32)  # a shard is far below 2**31 bytes
     order, names, shared = _names(grams[active], None)
     active = active[order]
     bucket[active] = names
     active = active[shared]
+    del grams, order, names
     length = q
     while length < window and len(active):
         step = min(length, window - length)
         active = active[active + length + step <= end[active]]
-        base = bucket[active]
+        base = bucket[active].astype(np.int64)
         order, names, shared = _names(base * (n + 1) + bucket[active + step], base)
         active = active[order]
         bucket[active] = names

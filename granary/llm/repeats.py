@@ -5,7 +5,7 @@
    need to meet. Anchors are far fewer than windows.
 2. Of the texts with such anchors, the pieces around them (the windows of one anchor, with all that these cover) are
    cut out and sent to one task per anchor, where a solver compares them.
-3. Anchors with ``hot`` places or more would make one task large. Their windows are sent one by one under a 128-bit
+3. Anchors with ``hot`` different pieces or more (some megabytes) would make one task large. Their windows are sent one by one under a 128-bit
    digest instead and aggregated before the shuffle, so no task ever holds more than ``hot`` pieces of an anchor.
    What a text repeats itself is one row with all its places, at every step.
 4. The repeated windows of each text are united and taken out of the text.
@@ -59,7 +59,7 @@ class Kind:
     gram: int
     keep_first: bool
     solver: Solver
-    hot: int = 4096
+    hot: int = 8192
     shard: int = 1 << 20  # bytes of pieces that a solver gets at a time
 
 
@@ -74,8 +74,13 @@ def _write(df: DataFrame, label: str) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(key, doc_id, n, begin, count, more): each anchor of each text once; ``more``: its further places (begin and count of 32 bits)."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("begin", pa.int32()), ("count", pa.int32()), ("more", pa.binary())])
+    """(key, doc_id, places, pieces, begin, count, more): each anchor of each text once.
+
+    ``pieces``: different pieces around its places; ``more``: places after the first (begin and count of 32 bits).
+    """
+    schema = pa.schema(
+        [("key", pa.int64()), ("doc_id", pa.int64()), ("places", pa.int32()), ("pieces", pa.int32()), ("begin", pa.int32()), ("count", pa.int32()), ("more", pa.binary())]
+    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,13 +99,16 @@ def _anchors(docs: DataFrame, kind: Kind) -> DataFrame:
                 new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(key)))
-                more = np.full(len(first), None, object)
+                more, pieces = np.full(len(first), None, object), np.ones(len(first), np.int32)
                 for k in np.flatnonzero(n > 1):
-                    more[k] = places[first[k] + 1 : first[k] + n[k]].tobytes()
-                columns = [key[first], part.column("doc_id").to_numpy()[text[first]], n, places[first, 0], places[first, 1], more]
+                    own = places[first[k] : first[k] + n[k]]
+                    more[k] = own[1:].tobytes()
+                    at_unit = at[text[first[k]]] + own[:, 0].astype(np.int64)
+                    pieces[k] = len(np.unique(W.range_hashes_at(units, at_unit, own[:, 1] + kind.window - 1)))
+                columns = [key[first], part.column("doc_id").to_numpy()[text[first]], n, pieces, places[first, 0], places[first, 1], more]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "key long, doc_id long, n int, begin int, count int, more binary")
+    return docs.mapInArrow(run, "key long, doc_id long, places int, pieces int, begin int, count int, more binary")
 
 
 def _units(text: str | None, kind: Kind):
@@ -272,10 +280,10 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     """(doc_id, begin, end) of units covered by repeated windows; spans of a text may overlap."""
     docs = _documents(docs)
     found = _write(_anchors(docs, kind), "anchors")
-    counts = found.groupBy("key").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("rows"))
-    counts = _write(counts.filter(F.col("places") >= 2), "anchor-counts")
+    counts = found.groupBy("key").agg(F.sum("places").alias("total"), (F.sum("pieces") >= kind.hot).alias("hot"), F.count(F.lit(1)).alias("rows"))
+    counts = _write(counts.filter(F.col("total") >= 2).drop("total"), "anchor-counts")
     marks = join_counted(found, counts, "key", "rows", "inner").groupBy("doc_id").agg(
-        F.collect_list(F.struct("key", (F.col("places") >= kind.hot).alias("hot"), "begin", "count", "more")).alias("marks")
+        F.collect_list(F.struct("key", "hot", "begin", "count", "more")).alias("marks")
     )  # one text's own anchors, so no more than the text is long
     pieces = _write(_cut(docs.join(marks, "doc_id"), kind), "pieces")
     usual = _solve(pieces.filter(~F.col("hot")).drop("hot"), kind)

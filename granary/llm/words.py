@@ -17,7 +17,7 @@ _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=U)
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,6 +55,12 @@ def range_hashes(units: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mix((sums[end] - sums[begin]) * down[begin])
 
 
+def range_hashes_at(units: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the ``size`` units from each ``begin``, over the part of the units that these span."""
+    low = int(begin.min())
+    return range_hashes(units[low : int((begin + size).max())], begin - low, begin - low + size)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, nulls as empty, and where each text begins (one more: the end)."""
     if isinstance(column, pa.ChunkedArray):
@@ -95,7 +101,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each word, computed a megabyte at a time."""
+    """A hash of each word, computed a slice at a time."""
     out = np.empty(len(begin), U)
     k = 0
     while k < len(begin):
@@ -130,7 +136,7 @@ def anchors(units: np.ndarray, at: np.ndarray, gram: int, window: int) -> tuple[
     cross texts. Consecutive windows with the same gram are one row of the result: number of the text, first
     unit of the first window counted in that text, number of windows, hash of the gram.
     """
-    low_bits, chunk = U((1 << 22) - 1), 1 << 20
+    low_bits, chunk = U((1 << 22) - 1), 1 << 18
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     found: list[tuple[np.ndarray, ...]] = []
     for c in range(0, len(units) - window + 1, chunk):
