@@ -129,12 +129,21 @@ def score_progress(df: DataFrame, n_buckets: int | None = None) -> DataFrame:
     return best.withColumn("change", F.col("score") - F.col("prev_score")).drop("prev_score")
 
 
-def doc_leaves(df: DataFrame, document: str = "doc", depth: int = 4) -> DataFrame:
+def doc_depth(df: DataFrame, document: str = "doc") -> int:
+    """The deepest nesting of braces in any document, which no document's objects exceed."""
+    signs = F.split(F.regexp_replace(document, r"[^{}]", ""), "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"), F.greatest(s["top"], s["now"] + 1).alias("top"))
+    deepest = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda s: s["top"])
+    return df.agg(F.max(deepest)).first()[0] or 1
+
+
+def doc_leaves(df: DataFrame, document: str = "doc", depth: int | None = None) -> DataFrame:
     """Leaf paths of JSON documents, one row per (run, path).
 
-    A value that is not an object is a leaf. Objects are opened in place, ``depth`` levels deep, so
-    the documents are read once and only the paths are exploded.
+    A value that is not an object is a leaf. Objects are opened in place, as deep as the deepest document
+    goes, so only the paths are exploded.
     """
+    depth = depth or doc_depth(df, document)
 
     def entries(json: Column, prefix: Column) -> Column:
         opened = F.map_entries(F.from_json(json, "map<string,string>"))

@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from granary.functions.arith import ceil_div, int_div, int_fraction
 from granary.operators.scan import rank_within, running
+from granary.session import materialize
 
 TEST_SIZE = 0.2
+# rows of 16 bytes
+BROADCAST_BATCHES = 1_000_000
 
 
 def with_batches(df: DataFrame, row_id: str, rows_per_batch: int) -> DataFrame:
@@ -32,6 +35,18 @@ def batch_sizes(df: DataFrame, batch: str = "batch_idx") -> DataFrame:
     return df.groupBy(batch).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def join_sizes(df: DataFrame, sizes: DataFrame, batch: str = "batch_idx") -> DataFrame:
+    """Add the columns of ``sizes``, one row per batch, to the rows of each batch; rows without a batch number are a batch too.
+
+    The sizes are written first, from one column of ``df``. Up to ``BROADCAST_BATCHES`` of them go to the rows, so the rows
+    are not dealt out by batch; more of them are joined by shuffle.
+    """
+    small = materialize(sizes.withColumnRenamed(batch, "__batch"), "sizes")
+    if small.count() <= BROADCAST_BATCHES:
+        small = F.broadcast(small)
+    return df.join(small, df[batch].eqNullSafe(small["__batch"])).drop("__batch")
+
+
 def batch_offsets(df: DataFrame, batch: str = "batch_idx") -> DataFrame:
     """Start of each batch in the whole table: a running sum over one row per batch."""
     sizes = batch_sizes(df, batch)
@@ -57,13 +72,13 @@ def tail_split(
 ) -> DataFrame:
     """Mark the last part of each batch, or of the whole table, as validation (``is_valid``).
 
-    Only counts are shuffled. A whole-table split compares against a scalar subquery.
+    Only counts are shuffled; rows without a batch number form a batch. A whole-table split compares against a scalar subquery.
     """
     if batch is None:
         n = df.agg(F.count(F.lit(1))).scalar()
         return df.withColumn("is_valid", F.col(position) >= n_train_of(n, test_size, rule))
     sizes = batch_sizes(df, batch)
-    joined = df.join(sizes, batch)
+    joined = join_sizes(df, sizes, batch)
     return joined.withColumn("is_valid", F.col(position) >= n_train_of(F.col("n_rows"), test_size, rule)).drop(
         "n_rows"
     )
@@ -122,7 +137,7 @@ def assign_round_robin(df: DataFrame, n_dirs: int, batch: str = "batch_idx") ->
 def with_shards(df: DataFrame, n_shards: int, batch: str = "batch_idx", position: str = "row_in_batch") -> DataFrame:
     """Contiguous shards of ``ceil(n / n_shards)`` rows in each batch; the last ones may be empty."""
     sizes = batch_sizes(df, batch)
-    joined = df.join(sizes, batch)
+    joined = join_sizes(df, sizes, batch)
     return joined.withColumn(
         "shard_idx", int_div(F.col(position), ceil_div(F.col("n_rows"), n_shards))
     ).drop("n_rows")

@@ -1,7 +1,7 @@
 """Tables stored as batches cut into contiguous shards.
 
 Layout: ``<path>/data/batch_idx=B/shard_idx=S/*.parquet`` plus a small ``<path>/manifest`` table. Rows
-are range-partitioned before the write, so an oversized batch is spread over several tasks and
+are dealt out by their place in the whole table, so an oversized batch is spread over several tasks and
 files, every file covers a contiguous range of rows, and Parquet statistics on
 ``row_in_batch`` skip files and row groups inside a shard.
 """
@@ -12,21 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.relate import union_all
-from granary.operators.split import shard_manifest, shard_span, with_shards
+from granary.functions.arith import int_div
+from granary.operators.scan import running
+from granary.operators.split import join_sizes, shard_manifest, shard_span, with_shards
 
 KEY = ("batch_idx", "shard_idx", "row_in_batch")
 
 
 def write_striped(df: DataFrame, path: str, n_shards: int) -> None:
+    if df.where(F.col("batch_idx").isNull()).limit(1).count():
+        raise ValueError("rows without batch_idx cannot be stored")
+    shard_manifest(df, n_shards).coalesce(1).write.parquet(f"{path}/manifest")
+    stored = manifest(df.sparkSession, path)
     sharded = with_shards(df, n_shards)
-    sharded.repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.partitionBy("batch_idx", "shard_idx").parquet(
-        f"{path}/data"
-    )
-    shard_manifest(df, n_shards).repartitionByRange("batch_idx").write.parquet(f"{path}/manifest")
+    # where each batch starts among all rows gives equal parts without sampling the rows
+    starts = batch_starts(stored)
+    total = stored.agg(F.coalesce(F.sum("shard_rows"), F.lit(0))).first()[0]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = max(1, -(-total // parts))
+    placed = join_sizes(sharded, starts).withColumn("__part", int_div(F.col("start") + F.col("row_in_batch"), per).cast("int"))
+    placed = placed.repartitionById(parts, F.pmod("__part", F.lit(parts)).cast("int")).drop("__part", "start")
+    placed.sortWithinPartitions(*KEY).write.partitionBy("batch_idx", "shard_idx").parquet(f"{path}/data")
     # the schema is kept beside the data, so that a table without rows can be read as well
     df.sparkSession.createDataFrame([], sharded.schema).coalesce(1).write.parquet(f"{path}/schema")
 
 
+def batch_starts(stored: DataFrame) -> DataFrame:
+    """``batch_idx, start``: rows in all batches with smaller numbers, from a manifest."""
+    sizes = stored.groupBy("batch_idx").agg(F.max("batch_rows").alias("n_rows"))
+    ends = running(sizes, [], ["batch_idx"], {"end": ("sum", F.col("n_rows"))})
+    return ends.select("batch_idx", (F.col("end") - F.col("n_rows")).alias("start"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per batch and shard, empty shards included."""
     return spark.read.parquet(f"{path}/manifest")
@@ -77,12 +94,17 @@ def range_of_each(spark: SparkSession, path: str, first: float, last: float) ->
     """The same relative range of every batch, e.g. a fold, in one scan: [int(first n), int(last n))."""
     from granary.functions.arith import int_fraction
 
-    sizes = manifest(spark, path).groupBy("batch_idx").agg(F.max("batch_rows").alias("__n"))
-    rows = read_striped(spark, path).join(sizes, "batch_idx")
-    n = F.col("__n")
-    return rows.where(
-        (F.col("row_in_batch") >= int_fraction(n, first)) & (F.col("row_in_batch") < int_fraction(n, last))
-    ).drop("__n")
+    n = F.col("batch_rows")
+    wanted = manifest(spark, path).select(
+        "batch_idx", "shard_idx", "shard_begin", "shard_end",
+        int_fraction(n, first).alias("__low"), int_fraction(n, last).alias("__high"),
+    )
+    # shards that overlap with the range; the join on the directories' columns prunes all others at run time
+    wanted = wanted.where((F.col("shard_begin") < F.col("__high")) & (F.col("shard_end") > F.col("__low")))
+    wanted = wanted.select("batch_idx", "shard_idx", "__low", "__high")
+    rows = read_striped(spark, path).join(wanted, ["batch_idx", "shard_idx"])
+    at = F.col("row_in_batch")
+    return rows.where((at >= F.col("__low")) & (at < F.col("__high"))).drop("__low", "__high")
 
 
 def load_all(spark: SparkSession, paths: list[str]) -> DataFrame:
