@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import decontam, exact, jaccard, pack, toxic
 from granary.llm.registry import table
+from granary.llm.store import narrow
 from granary.session import materialize
 
 
@@ -43,14 +44,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deduplicate through a fresh digest index."""
     found = exact.dedup(docs, exact.fresh_index(spark))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
-    return _only(docs, materialize(kept, "kept"))
+    return _only(docs, narrow(kept, "kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each class."""
     found = jaccard.near_duplicates(docs)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return _only(docs, materialize(kept, "kept"))
+    return _only(docs, narrow(kept, "kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import materialize, scratch_path
+from granary.llm.store import narrow
+from granary.session import scratch_path
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: A digest with this share of all rows or more is joined by broadcast: at most 1/HEAVY of them can exist.
@@ -77,14 +78,14 @@ class DigestIndex:
         if self.entries().filter(F.col("batch") == batch).limit(1).count():
             return
         fresh = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
-        fresh = materialize(fresh, "digest-batch")
+        fresh = narrow(fresh, "digest-batch")
         known = self.entries().groupBy("digest").agg(F.min("keep_id").alias("keep_id")).hint("merge")
         new = fresh.join(known, "digest", "left_anti").withColumn("keep_id", F.col("first_id"))
         again = fresh.join(known, "digest", "inner")
         columns = [F.col("digest"), F.col("keep_id"), F.col("n_rows"), F.lit(batch).alias("batch")]
         both = new.select(*columns).unionByName(again.select(*columns))
         # written apart first: a table can't be read and appended to in one job
-        both = materialize(both, "digest-append")
+        both = narrow(both, "digest-append")
         (
             both.repartition(self.buckets, "digest")
             .write.mode("append").format("parquet").option("path", self.path)
@@ -98,7 +99,7 @@ def dedup(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFrame:
     One row per document: doc_id, keep_id, group_size, kept, digest.
     """
     digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(normalised(F.col("text"))).alias("digest"))
-    digests = materialize(digests, "digests")
+    digests = narrow(digests, "digests")
     low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is not None:
         step = -(-(high - low + 1) // batches)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.session import materialize
+from granary.llm.store import narrow
 
 ROUNDS = 60
 
@@ -31,10 +31,10 @@ def _mark(edges: DataFrame):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, low) for each node of (a, b): the smallest node that it is connected with. Each round is written to the shared folder."""
-    now = materialize(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
+    now = narrow(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
     before = None
     for _ in range(ROUNDS):
-        now = materialize(_star(_star(now, True), False), "edges")
+        now = narrow(_star(_star(now, True), False), "edges")
         after = _mark(now)
         if after == before:
             break

@@ -30,6 +30,7 @@ from granary.llm import graph
 from granary.llm import words as W
 from granary.llm.exact import join_counted
 from granary.llm.repeats import NO_ID
+from granary.llm.store import narrow
 from granary.session import materialize
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -309,14 +310,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = materialize(_sketched(docs, ["doc_id", "text"], "doc_id long, size int, one long, two long, values binary, keys array<bigint>", first), "sketches")
     digest = F.struct("one", "two", "size").alias("digest")
     ids = sketches.filter(F.col("size") > 0).select("doc_id", digest)
-    classes = materialize(ids.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), "classes")
+    classes = narrow(ids.groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), "classes")
     heads = sketches.filter(F.col("size") > 0).join(classes.select(F.col("copy_id").alias("doc_id"), F.col("digest.*")), ["doc_id", "one", "two", "size"], "left_semi")
-    heads = materialize(heads.dropDuplicates(["doc_id"]).select("doc_id", "values", "keys"), "heads")
+    heads = narrow(heads.dropDuplicates(["doc_id"]).select("doc_id", "values", "keys"), "heads")
 
     clusters = graph.components(_candidate_edges(heads)).select(F.col("node").alias("doc_id"), F.col("low").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     clusters = clusters.join(sizes, "cluster").join(classes.select(F.col("copy_id").alias("doc_id"), F.col("n_copies").alias("copies")), "doc_id")
-    clusters = materialize(clusters.select("doc_id", "cluster", "n", "copies"), "clusters")
+    clusters = narrow(clusters.select("doc_id", "cluster", "n", "copies"), "clusters")
     few = clusters.count() <= BROADCAST_IDS
     inside = docs.join(F.broadcast(clusters) if few else clusters, "doc_id")
 
@@ -325,7 +326,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return [*(part.column(n) for n in ("doc_id", "cluster", "n", "copies")), _bytes(s.hashes, s.at), _bytes(values.ravel(), np.arange(len(values) + 1) * VALUES)]
 
     members = _sketched(inside, ["doc_id", "cluster", "n", "copies", "text"], "doc_id long, cluster long, n long, copies long, hashes binary, values binary", second)
-    found = materialize(_verified(members), "links")
+    found = narrow(_verified(members), "links")
     counts = found.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("linked"))
     joined = graph.components(found.filter(F.col("b").isNotNull()).select("a", "b"))
     about = classes.join(counts, classes["copy_id"] == counts["a"], "left").drop("a")
@@ -333,7 +334,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "digest", "copy_id", "n_copies", F.coalesce("low", "copy_id").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
         (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
     )
-    about = materialize(about, "classes")
+    about = narrow(about, "classes")
     names = ["doc_id", "class_id", "copy_id", "n_copies", "n_texts", "n_links"]
     alone = sketches.filter(F.col("size") == 0).select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"),

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import words as W
-from granary.session import materialize, scratch_path
+from granary.llm.store import narrow
+from granary.session import scratch_path
 
 CAPACITY = 2048
 SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 4, 6
@@ -241,9 +242,9 @@ def _epoch(states: DataFrame, number: int, capacity: int) -> DataFrame:
 
 def _evolve(items: DataFrame, shards: int, label: int, capacity: int) -> DataFrame:
     """(piece_key, length, sequence_id, offset, fill) by the best island of each shard."""
-    states = materialize(_settle(items, shards, capacity), "islands")
+    states = narrow(_settle(items, shards, capacity), "islands")
     for number in range(1, EPOCHS):
-        states = materialize(_epoch(states, number, capacity), "islands")
+        states = narrow(_epoch(states, number, capacity), "islands")
     best = states.groupBy("shard").agg(F.min(F.struct("n_bins", "badness", "island")).alias("best"))
     best = best.select("shard", F.col("best.island").alias("island"))
     schema = pa.schema([("piece_key", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64())])
@@ -286,10 +287,10 @@ def pack(docs: DataFrame, encoder: tuple | None = None, capacity: int = CAPACITY
     cut = pieces(docs, encoder or public_encoder(), capacity)
     full = cut.filter(F.col("length") == capacity).select("piece_key", (-1 - F.col("piece_key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = cut.filter(F.col("length") < capacity).select("piece_key", "length")
-    first = materialize(_evolve(items, max(1, -(-items.count() // SHARD)), 0, capacity), "packed")
+    first = narrow(_evolve(items, max(1, -(-items.count() // SHARD)), 0, capacity), "packed")
     good = F.col("fill") >= WELL_FILLED * capacity
     pool = first.filter(~good).select("piece_key", "length")
-    again = materialize(_evolve(pool, max(1, -(-pool.count() // SHARD)), 1, capacity), "packed")
+    again = narrow(_evolve(pool, max(1, -(-pool.count() // SHARD)), 1, capacity), "packed")
     columns = ["piece_key", "sequence_id", "offset"]
     plan = full.select(*columns).unionByName(first.filter(good).select(*columns)).unionByName(again.select(*columns))
     return Packing(cut, plan)

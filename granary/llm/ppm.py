@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import words as W
+from granary.llm.store import narrow
 from granary.session import materialize
 
 ORDER, SHARD, HEAD = 5, 4_000_000, 1 << 17
@@ -205,7 +206,7 @@ def _shard_of(key, shards: int):
 
 def train(docs: DataFrame, order: int = ORDER, shard: int = SHARD) -> dict:
     """Counts of the words and grams of (text) rows: tables in the shared folder, and totals."""
-    counts = materialize(_counts(docs, order), "counts")
+    counts = narrow(_counts(docs, order), "counts")
     n_docs = docs.count()
     words = counts.filter(F.col("kind") == 0).select(F.col("key").alias("word"), "n")
     trie = counts.filter(F.col("kind") == 1).select("key", "n")

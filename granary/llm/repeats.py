@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import words as W
 from granary.llm.exact import join_counted
+from granary.llm.store import narrow
 from granary.session import scratch_path
 
 NO_ID = -(2**63)
@@ -68,6 +69,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, label: str) -> DataFrame:
+    """Like ``materialize``, packed tighter."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -239,7 +241,7 @@ def _hot_windows(pieces: DataFrame, kind: Kind) -> DataFrame:
         F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.col("again").isNotNull()).alias("within"), F.count(F.lit(1)).alias("n")
     )
     repeated = (F.col("low") != F.col("high")) | F.col("within")
-    groups = _write(groups.filter(repeated), "digests")
+    groups = narrow(groups.filter(repeated), "digests")
     found = join_counted(pieces, groups, window, "n", "inner")
     if kind.keep_first:
         begins = F.when(place == F.col("low"), F.array().cast("array<int>")).otherwise(F.array("begin"))
@@ -281,14 +283,14 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     docs = _documents(docs)
     found = _write(_anchors(docs, kind), "anchors")
     counts = found.groupBy("key").agg(F.sum("places").alias("total"), (F.sum("pieces") >= kind.hot).alias("hot"), F.count(F.lit(1)).alias("rows"))
-    counts = _write(counts.filter(F.col("total") >= 2).drop("total"), "anchor-counts")
+    counts = narrow(counts.filter(F.col("total") >= 2).drop("total"), "anchor-counts")
     marks = join_counted(found, counts, "key", "rows", "inner").groupBy("doc_id").agg(
         F.collect_list(F.struct("key", "hot", "begin", "count", "more")).alias("marks")
     )  # one text's own anchors, so no more than the text is long
     pieces = _write(_cut(docs.join(marks, "doc_id"), kind), "pieces")
     usual = _solve(pieces.filter(~F.col("hot")).drop("hot"), kind)
     hot = _spread(_hot_windows(pieces.filter("hot").drop("hot"), kind), kind)
-    return _write(usual.unionByName(hot), "spans")
+    return narrow(usual.unionByName(hot), "spans")
 
 
 KEPT = "doc_id long, n_units long, n_removed long, spans array<struct<begin:long,end:long>>, kept binary"
