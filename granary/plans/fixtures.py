@@ -25,12 +25,14 @@ def perf(t: Tables) -> DataFrame:
 
 
 def acq(t: Tables) -> DataFrame:
-    """The dimension side; every tenth loan is absent, so that the left join leaves NULLs."""
-    return t.orders.withColumnRenamed("o_orderkey", "loan_id").where(F.pmod("loan_id", F.lit(10)) != 0)
+    """The dimension side; every tenth loan has a key that no fact has, so that the left join leaves NULLs."""
+    key = F.col("o_orderkey")
+    return t.orders.select(F.when(F.pmod(key, F.lit(10)) == 0, -1 - key).otherwise(key).alias("loan_id"), *[c for c in t.orders.columns if c != "o_orderkey"])
 
 
 PERF_SQL = "SELECT l_orderkey AS loan_id, * EXCLUDE (l_orderkey) FROM lineitem"
-ACQ_SQL = "SELECT o_orderkey AS loan_id, * EXCLUDE (o_orderkey) FROM orders WHERE o_orderkey % 10 <> 0"
+ACQ_SQL = """SELECT CASE WHEN o_orderkey % 10 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS loan_id, * EXCLUDE (o_orderkey)
+  FROM orders"""
 
 
 def _coordinate(base: float, factor: int):
@@ -139,7 +141,7 @@ def enriched(t: Tables) -> DataFrame:
 
 
 ENRICHED_SQL = """SELECT l.*, o.o_totalprice, o.o_orderpriority, o.o_orderstatus FROM lineitem l LEFT JOIN
-  (SELECT * FROM orders WHERE o_orderkey % 10 <> 0) o ON l.l_orderkey = o.o_orderkey"""
+  orders o ON l.l_orderkey = CASE WHEN o.o_orderkey % 10 = 0 THEN -1 - o.o_orderkey ELSE o.o_orderkey END"""
 
 
 def batch_number(row_id: str, rows: int):
