@@ -6,8 +6,9 @@ window runs inside each (key, bucket), one small row per (key, bucket) is carrie
 buckets of its key, and the carry is joined back. No task sees more than a bucket of a key.
 
 The first order column must be nearly unique inside a key: rows that tie on it share a bucket.
-Cuts are collected as plain numbers (at most ``MAX_BUCKETS``), so that recomputing a lost
-partition meets exactly the same buckets.
+Cuts are collected as plain numbers (``MAX_CUTS`` at most), so that recomputing a lost partition meets exactly
+the same buckets. Larger tables get more buckets by dividing the stretch between two cuts evenly, so a
+bucket stays at about ``ROWS_PER_BUCKET`` rows whatever the table's size (texts are divided at cuts only).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 from granary.functions.arith import count_at_most
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+MAX_CUTS = 4096
 _BUCKET = "__bucket"
 
 
@@ -31,17 +32,24 @@ def order_cuts(df: DataFrame, order: str, n_buckets: int | None = None) -> list:
     With ``n_buckets=None`` the row count decides; a table that fits in one bucket gets no
     boundary, since then no group of it can be large either.
     """
+    return _divide(df, order, n_buckets)[0]
+
+
+def _divide(df: DataFrame, order: str, n_buckets: int | None) -> tuple[list, int]:
+    """Cuts, and the number of even parts between two of them."""
     if n_buckets is None:
-        n_buckets = min(MAX_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+        n_buckets = -(-df.count() // ROWS_PER_BUCKET)
     if n_buckets <= 1:
-        return []
+        return [], 1
+    at_cuts, parts = min(n_buckets, MAX_CUTS), -(-n_buckets // MAX_CUTS)
     kind = dict(df.dtypes)[order]
     if kind == "string":
-        return _string_cuts(df, order, n_buckets)
+        return _string_cuts(df, order, at_cuts), 1
     value = F.unix_micros(order) if kind == "timestamp" else F.col(order)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.select(F.percentile_approx(value, probs, 10 * n_buckets)).first()[0]
-    return sorted(set(cuts or []))
+    # with parts between cuts the outermost stretches need an end as well
+    probs = [i / at_cuts for i in (range(1, at_cuts) if parts == 1 else range(at_cuts + 1))]
+    cuts = df.select(F.percentile_approx(value, probs, 10 * at_cuts)).first()[0]
+    return sorted(set(cuts or [])), parts
 
 
 def _string_cuts(df: DataFrame, order: str, n_buckets: int) -> list:
@@ -55,9 +63,17 @@ def _string_cuts(df: DataFrame, order: str, n_buckets: int) -> list:
     return sorted({values[len(values) * i // n_buckets] for i in range(1, n_buckets)}) if values else []
 
 
-def _bucketed(df: DataFrame, order: str, cuts: list) -> DataFrame:
+def _bucketed(df: DataFrame, order: str, cuts: list, parts: int = 1) -> DataFrame:
     value = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order)
-    return df.withColumn(_BUCKET, count_at_most(value, cuts))
+    bucket = count_at_most(value, cuts)
+    if parts == 1:
+        return df.withColumn(_BUCKET, bucket)
+    ends = F.array(*[F.lit(c) for c in cuts])
+    rows = df.withColumn(_BUCKET, bucket)
+    low, high = F.get(ends, F.col(_BUCKET) - 1), F.get(ends, F.col(_BUCKET))
+    part = F.floor((value - low).cast("double") / (high - low).cast("double") * parts).cast("bigint")
+    part = F.coalesce(F.greatest(F.least(part, F.lit(parts - 1).cast("bigint")), F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+    return rows.withColumn(_BUCKET, F.col(_BUCKET).cast("bigint") * parts + part)
 
 
 def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,12 +98,12 @@ def running(
 ) -> DataFrame:
     """Add inclusive running aggregates; ``aggs`` maps a new name to (sum|count|min|max, column)."""
     keys, order = list(keys), list(order)
-    cuts = order_cuts(df, order[0], n_buckets)
+    cuts, parts = _divide(df, order[0], n_buckets)
     if not cuts:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: _AGG[f](c).over(w) for n, (f, c) in aggs.items()})
 
-    rows = _bucketed(df, order[0], cuts)
+    rows = _bucketed(df, order[0], cuts, parts)
     inner = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry_fn = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -125,13 +141,13 @@ def neighbours(
 ) -> DataFrame:
     """Add ``prev_c`` and ``next_c`` for each column, the values of the adjacent rows of the key."""
     keys, order, columns = list(keys), list(order), list(columns)
-    cuts = order_cuts(df, order[0], n_buckets)
+    cuts, parts = _divide(df, order[0], n_buckets)
     if not cuts:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns(
             {f"prev_{c}": F.lag(c).over(w) for c in columns} | {f"next_{c}": F.lead(c).over(w) for c in columns}
         )
-    rows = _bucketed(df, order[0], cuts)
+    rows = _bucketed(df, order[0], cuts, parts)
     w = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     local = rows.withColumns(
         {f"__p_{c}": F.lag(c).over(w) for c in columns}
@@ -169,8 +185,8 @@ def prefix_by_bucket(
     Rows are reduced to one (total, peak) pair per (key, bucket); no join back is needed.
     """
     keys, order = list(keys), list(order)
-    cuts = order_cuts(df, order[0], n_buckets)
-    rows = _bucketed(df, order[0], cuts)
+    cuts, parts = _divide(df, order[0], n_buckets)
+    rows = _bucketed(df, order[0], cuts, parts)
     inner = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     parts = (
         rows.withColumns({"__d": delta, "__r": F.sum(delta).over(inner)})

@@ -88,3 +88,15 @@ def test_peak(spark, deltas, n):
 def test_count_at_most(spark, cuts, value):
     got = spark.range(1).select(count_at_most(F.lit(value), sorted(cuts))).first()[0]
     assert got == sum(c <= value for c in cuts)
+
+
+@pytest.mark.parametrize("cuts", [2, 3, 8])
+def test_more_buckets_than_cuts(skewed, monkeypatch, cuts):
+    monkeypatch.setattr(scan, "MAX_CUTS", cuts)
+    assert scan._divide(skewed, "at", 40)[1] == -(-40 // cuts)
+    w = Window.partitionBy("k").orderBy("at")
+    want = skewed.withColumns({"s": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "prev_v": F.lag("v").over(w), "next_v": F.lead("v").over(w)})
+    got = scan.neighbours(scan.running(skewed, ["k"], ["at"], {"s": ("sum", F.col("v"))}, 40), ["k"], ["at"], ["v"], 40)
+    assert rows(got) == rows(want)
+    sizes = scan._bucketed(skewed, "at", *scan._divide(skewed, "at", 40)).groupBy("__bucket").count().toPandas()
+    assert len(sizes) > 30 and sizes["count"].max() < 60
