@@ -6,6 +6,7 @@ the features sorted by name and the label last.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from granary.functions.trip import trip_features
 from granary.operators import clean, encode
-from granary.operators.relate import enrich
+from granary.operators.relate import enrich, union_all
 from granary.sources.files import read_compressed, read_dir, read_libsvm
 
 REGRESSION = "reg:squarederror"
@@ -55,6 +56,7 @@ TAXI_ALIASES = {
     "tpep_dropoff_datetime": "dropoff_datetime",
     "ratecodeid": "rate_code",
 }
+# Bounds of usable trips.
 TAXI_BOUNDS = {
     "fare_amount": (0, 500),
     "passenger_count": (0, 6),
@@ -64,11 +66,13 @@ TAXI_BOUNDS = {
     "dropoff_latitude": (40, 42),
 }
 TAXI_TRAIN_DAYS = 25
+# Columns of the flight table, and those that hold text.
 AIRLINE = (
     "Year", "Month", "DayofMonth", "DayofWeek", "CRSDepTime", "CRSArrTime", "UniqueCarrier", "FlightNum",
     "ActualElapsedTime", "Origin", "Dest", "Distance", "Diverted", "ArrDelay",
 )
 AIRLINE_TEXT = ("UniqueCarrier", "Origin", "Dest")
+# Columns used of the house prices.
 HOUSE_CATEGORIES = (
     "BldgType", "GarageFinish", "LotConfig", "Functional", "MasVnrType", "HouseStyle", "FireplaceQu", "ExterCond",
     "ExterQual", "PoolQC",
@@ -101,7 +105,11 @@ def clean_trips(raw: DataFrame) -> DataFrame:
 
 def taxi_table(raw: DataFrame, weekday: str = "calendar") -> DataFrame:
     """Trip features of the rows inside all bounds; ``part`` is train for the first days of a month."""
-    trips = trip_features(clean.between_open(clean_trips(raw), TAXI_BOUNDS), weekday)
+    return taxi_features(clean_trips(raw), weekday)
+
+
+def taxi_features(cleaned: DataFrame, weekday: str = "calendar") -> DataFrame:
+    trips = trip_features(clean.between_open(cleaned, TAXI_BOUNDS), weekday)
     part = F.when(F.col("day") < TAXI_TRAIN_DAYS, "train").otherwise("test")
     return clean.features_then_label(trips, "fare_amount").withColumn("part", part)
 
@@ -111,9 +119,25 @@ def _mortgage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _taxi(spark: SparkSession, path: str) -> DataFrame:
-    # column names differ by year, so the header decides; all columns are read as text
-    raw = spark.read.option("header", True).csv(path)
-    return taxi_table(raw)
+    """Column names and their order differ by year, so files are read by header and united after cleaning."""
+    parts = []
+    for names, files in headers(spark, path).items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        parts.append(clean_trips(spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(files)))
+    return taxi_features(union_all(parts))
+
+
+def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files below ``path`` by the column names of their first line. One row per file comes to the driver."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.where(F.col("block") == 0).groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").collect():
+        found.setdefault(tuple(next(csv.reader([row["line"]]))), []).append(row["file"])
+    return found
 
 
 def airline_table(raw: DataFrame) -> DataFrame:
@@ -136,8 +160,9 @@ def _headerless(position: int) -> Callable[[SparkSession, str], DataFrame]:
     """Headerless numbers with the label in the first or the last column."""
 
     def load(spark: SparkSession, path: str) -> DataFrame:
-        df = spark.read.option("inferSchema", True).csv(path)
-        df = df.select(*[F.col(c).cast("float").alias(c) for c in df.columns])
+        line = spark.read.text(path).first()
+        width = line["value"].count(",") + 1 if line else 0
+        df = spark.read.schema(", ".join(f"_c{i} FLOAT" for i in range(width))).csv(path)
         label = df.columns[position]
         return df.select(*[c for c in df.columns if c != label], F.col(label).alias("label"))
 

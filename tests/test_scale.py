@@ -84,3 +84,19 @@ def test_written_tables_can_go(spark, tmp_path):
         spark.read.parquet(stored.scratch)
     with pytest.raises(ValueError):
         discard(spark.range(1))
+
+
+def test_trips_by_header(spark, tmp_path):
+    """Two years with other names in another order; each has one valid trip."""
+    from granary.sources import datasets
+
+    (tmp_path / "a.csv").write_text(
+        "pickup_datetime,dropoff_datetime,passenger_count,trip_distance,pickup_longitude,pickup_latitude,rate_code,dropoff_longitude,dropoff_latitude,fare_amount\n"
+        "2014-01-02 10:00:00,2014-01-02 10:20:00,1,2.5,-73.9,40.7,1,-73.95,40.75,12.5\n"
+    )
+    (tmp_path / "b.csv").write_text(
+        "fare_amount,tpep_pickup_datetime,tpep_dropoff_datetime,RateCodeID,passenger_count,pickup_latitude,pickup_longitude,dropoff_latitude,dropoff_longitude,trip_distance\n"
+        "20.0,2015-01-26 10:00:00,2015-01-26 10:20:00,1,2,40.7,-73.9,40.75,-73.95,3.5\n"
+    )
+    df, _ = datasets.dataset(spark, "taxi", str(tmp_path))
+    assert sorted((r["fare_amount"], r["part"]) for r in df.select("fare_amount", "part").collect()) == [(12.5, "train"), (20.0, "test")]
