@@ -30,28 +30,28 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept`` (doc_id, once each), each id once."""
-    kept = kept.select(F.col("doc_id").alias("_kept"))
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    ids = docs.select("doc_id")
-    repeated = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the ids that ``found`` (doc_id, kept) never keeps; rows that repeat id and text stay once.
+
+    The ids that go are written first. Up to a million of them go to the texts by broadcast, so texts aren't dealt out; more
+    of them are joined by shuffle.
+    """
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    out = decontam.without(docs, narrow(gone, "gone"), lambda g: docs["doc_id"].eqNullSafe(g["_gone"]))
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     # ids tell documents apart; only a table in which some don't is dealt out again
-    return found.dropDuplicates(["doc_id"]) if repeated.limit(1).count() else found
+    return out.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else out
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deduplicate through a fresh digest index."""
-    found = exact.dedup(docs, exact.fresh_index(spark))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
-    return _only(docs, narrow(kept, "kept"))
+    return _without(docs, exact.dedup(docs, exact.fresh_index(spark)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each class."""
     found = jaccard.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return _only(docs, narrow(kept, "kept"))
+    return _without(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,15 +13,21 @@ null ids are safe.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm.store import narrow
+
 #: Masks over consecutive tokens: 1 counts, 0 is ignored. Fixed values.
 MASKS = ("11101101011", "11011010111", "10111011011")
 SPAN = len(MASKS[0])
 WINDOW, AGREE = 16, 0.8
 #: Benchmark seeds are broadcast up to this many (24 bytes each), else both sides are shuffled.
 BROADCAST_SEEDS = 1_000_000
+#: Rows to take out are broadcast up to this many (16 bytes each), else joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -96,8 +102,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
     )
 
 
+def without(docs: DataFrame, gone: DataFrame, matches: Callable[[DataFrame], Column]) -> DataFrame:
+    """``docs`` without the rows that match one of ``gone``, a written table: by broadcast up to ``BROADCAST_ROWS`` of these."""
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, matches(gone), "left_anti")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no benchmark item, with all their columns."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (key == bad["_bad_key"]), "left_anti")
+    return without(docs, narrow(bad, "contaminated"), lambda g: docs["doc_id"].eqNullSafe(g["_bad_id"]) & (key == g["_bad_key"]))
