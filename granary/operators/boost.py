@@ -133,7 +133,8 @@ def best_splits(
     Input: ``*keys, [target,] feature, bin, g, h, n`` with bin -1 for missing; ``g`` and ``h`` may be integers, to
     be divided by ``scale``. A numeric split sends bins <= ``bin`` left. ``categorical`` maps a feature to
     ``onehot`` (one category against the rest) or ``partition`` (categories in the order of their leaf
-    weight, at most ``max_cat_threshold`` of them on the smaller side). A node without a valid split is absent.
+    weight, at most ``max_cat_threshold`` of them on the smaller side; the left set is gathered for the winning
+    split alone). A node without a valid split is absent.
 
     Ties go to the smaller feature, the smaller bin, then missing to the right. With sums in floating point,
     ``digits`` rounds gains so that ties do not depend on the order of addition. Windows hold one
@@ -158,9 +159,7 @@ def best_splits(
         )
         lg, lh = (f"CASE WHEN {among('onehot')} THEN {c} ELSE u{c} - m{c} END" for c in "gh")
         present = f"nullif(bin, {MISSING})"
-        gathered = (
-            f"CASE WHEN {among('onehot')} THEN array(bin) WHEN {among('partition')} THEN collect_list({present}) OVER upto END"
-        )
+        gathered = f"CASE WHEN {among('onehot')} THEN array(bin) END"
         position, n_bins = f"count({present}) OVER upto", f"count({present}) OVER every"
         small = f"least(position, n_bins - position) <= {p.max_cat_threshold}"
         bounded = f"coalesce(NOT ({among('partition')}), TRUE) OR {small}"
@@ -181,7 +180,7 @@ def best_splits(
     else:
         merged = f"""SELECT {key}, feature, bin, default_left, position, n_bins, categories, {gain} AS gain,
             left_h / {sh} AS left_weight, (th - left_h) / {sh} AS right_weight, array({sums}) AS sums FROM sides"""
-    return hist.sparkSession.sql(
+    best = hist.sparkSession.sql(
         f"""
         WITH ranked AS (
           SELECT {key}, {target} AS target, feature, bin, g, h, {rank_key} AS rank_key FROM {{hist}}),
@@ -208,11 +207,27 @@ def best_splits(
           WHERE left_weight >= {float(p.min_child_weight)}D AND right_weight >= {float(p.min_child_weight)}D
             AND ({bounded}) AND gain > {max(float(p.gamma), MIN_GAIN)}D)
         SELECT {key}, best.* FROM (
-          SELECT {key}, max_by(struct(feature, bin, default_left, shown AS gain, categories, sums),
+          SELECT {key}, max_by(struct(feature, bin, default_left, shown AS gain, categories, sums, position),
             struct(shown, -feature, -bin, int(NOT default_left))) AS best FROM valid GROUP BY {key})
         """,
         hist=hist,
     )
+    if "partition" not in kinds.values():
+        return best.drop("position")
+    # only the split that won needs its categories: those ranked up to its position, by the first target
+    ranked = hist.sparkSession.sql(
+        f"""
+        SELECT {key}, feature, bin, row_number() OVER (PARTITION BY {key}, feature ORDER BY ratio, bin) AS position FROM (
+          SELECT {key}, feature, bin, {ratio} AS ratio, min({target}) OVER (PARTITION BY {key}, feature) AS first, {target} AS target
+          FROM {{hist}} WHERE {among("partition")} AND bin <> {MISSING}) WHERE target = first
+        """,
+        hist=hist,
+    ).withColumnsRenamed({"feature": "__feature", "bin": "__bin", "position": "__position"})
+    chosen = best.join(ranked, list(keys)).where((F.col("feature") == F.col("__feature")) & (F.col("__position") <= F.col("position")))
+    sets = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__position", "__bin"))).alias("__set"))
+    sets = sets.select(*keys, F.transform("__set", lambda s: s["__bin"]).alias("__set"))
+    out = best.join(sets, list(keys), "left")
+    return out.withColumn("categories", F.coalesce("categories", "__set")).drop("__set", "position")
 
 
 def subsample_keep(row_id: Column, round_: int, tree: int, rate: float, seed: int) -> Column:
