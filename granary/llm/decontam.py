@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced seeds, with DataFrame operations only.
 
-A seed is a window of ``SPAN`` tokens of which a fixed mask keeps some; the positions it ignores may differ.
+A seed is a window of tokens of which a fixed mask keeps some; the positions it ignores may differ. The masks depend on the
+length of the item (``SEEDS``) and miss no overlap that counts: tests lay them over every substitution pattern.
 Seeds of the benchmark and of the documents meet by hash, and each hit gives a diagonal (document
 position minus item position). On the diagonal the whole item is laid over the document: the pair counts as
 contaminated when some ``WINDOW`` consecutive aligned tokens (all of a shorter item) agree in at least ``AGREE`` of
 their places, so substituted words don't hide a passage.
 
-Tokens are runs of letters and digits, lower-cased. Items with fewer tokens than a seed can't be found
-and are left out. Null or empty texts have no tokens. Documents are told apart by id and text, so repeated or
+Tokens are runs of letters and digits, lower-cased. Items of four tokens or fewer are found as they stand, so an item of one
+token is in every document with that token. Null or empty texts have no tokens. Documents are told apart by id and text, so repeated or
 null ids are safe.
 """
 
@@ -20,7 +21,14 @@ from pyspark.sql import functions as F
 
 from granary.llm.store import narrow
 
-#: Masks over consecutive tokens: 1 counts, 0 is ignored. Fixed values.
+#: Masks over consecutive tokens (1 counts, 0 is ignored) for items of so many tokens up to the next number. Each set
+#: meets all ways to place the differences that ``AGREE`` allows in that many tokens, and so in more of them up to ``WINDOW``.
+SEEDS = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("111", "1011"), 6: ("1111", "11011"), 8: ("110111", "11111"),
+    10: ("110111", "11001011", "11111"), 11: ("1101011", "1100111"), 12: ("11010111", "111001101", "111111"),
+    15: ("1101111", "11100010011", "10001101011"),
+}
+#: The sparser masks that the SQL of the query compares with; it finds no more than ``SEEDS`` do.
 MASKS = ("11101101011", "11011010111", "10111011011")
 SPAN = len(MASKS[0])
 WINDOW, AGREE = 16, 0.8
@@ -36,12 +44,37 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, at: str) -> DataFrame:
+def masks_for(n_tokens: int) -> tuple[str, ...]:
+    """The masks that find an item of so many tokens."""
+    return SEEDS[max(n for n in SEEDS if n <= n_tokens)]
+
+
+def _seeds(rows: DataFrame, at: str, masks: list[str]) -> DataFrame:
     """One row per seed of the token array ``h``: its position and its key; other columns are kept."""
-    places = rows.filter(F.size("h") >= SPAN).withColumn(at, F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)))
-    kept = [[i for i, c in enumerate(mask) if c == "1"] for mask in MASKS]
-    keys = [F.xxhash64(F.lit(m), *[F.get("h", F.col(at) + i) for i in places_]) for m, places_ in enumerate(kept)]
-    return places.withColumn("seed", F.explode(F.array(*keys)))
+    least = min(map(len, masks))
+    places = rows.filter(F.size("h") >= least).withColumn(at, F.explode(F.sequence(F.lit(0), F.size("h") - least)))
+    keys = [
+        F.when(
+            F.col(at) + len(mask) <= F.size("h"),
+            F.xxhash64(F.lit(mask), *[F.get("h", F.col(at) + i) for i, c in enumerate(mask) if c == "1"]),
+        )
+        for mask in masks
+    ]
+    return places.withColumn("seed", F.explode(F.array(*keys))).filter(F.col("seed").isNotNull())
+
+
+def _item_seeds(items: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The seeds of all items by the masks for their lengths, and the masks in use."""
+    n = F.size("h")
+    lengths = [r[0] for r in items.filter(n > 0).select(F.least(n, F.lit(max(SEEDS)))).distinct().collect()]
+    by_masks: dict[tuple[str, ...], list[int]] = {}
+    for length in sorted(lengths):
+        by_masks.setdefault(masks_for(length), []).append(length)
+    out = items.select("item_id", F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("seed")).limit(0)
+    for masks, own in by_masks.items():
+        some = items.filter(F.least(n, F.lit(max(SEEDS))).isin(own))
+        out = out.unionByName(_seeds(some, "item_at", list(masks)).select("item_id", "item_at", "seed"))
+    return out.distinct(), sorted({m for masks in by_masks for m in masks})
 
 
 def _aligned(rows: DataFrame) -> DataFrame:
@@ -81,15 +114,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
     text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     ours = docs.select("doc_id", text_key.alias("text_key"), tokens(F.col("text")).alias("h"))
     items = benchmark.select("item_id", tokens(F.col("text")).alias("h"))
-    theirs = _seeds(items, "item_at").select("seed", "item_id", "item_at").distinct()
-    whole = items.filter(F.size("h") >= SPAN).select("item_id", F.col("h").alias("g")).distinct()
+    theirs, masks = _item_seeds(items)
+    masks = masks or list(SEEDS[max(SEEDS)])
+    whole = items.filter(F.size("h") > 0).select("item_id", F.col("h").alias("g")).distinct()
     pair = ["doc_id", "text_key", "item_id"]
     diagonal = (F.col("doc_at") - F.col("item_at")).alias("diagonal")
     if theirs.count() <= broadcast_seeds:
-        hits = _seeds(ours, "doc_at").join(F.broadcast(theirs), "seed").select(*pair, "h", diagonal)
+        hits = _seeds(ours, "doc_at", masks).join(F.broadcast(theirs), "seed").select(*pair, "h", diagonal)
         found = hits.join(F.broadcast(whole), "item_id")
     else:
-        hits = _seeds(ours, "doc_at").select("doc_id", "text_key", "doc_at", "seed").join(theirs, "seed")
+        hits = _seeds(ours, "doc_at", masks).select("doc_id", "text_key", "doc_at", "seed").join(theirs, "seed")
         hits = hits.select(*pair, diagonal).distinct().alias("hits")
         back = ours.distinct().alias("ours")
         same = F.col("hits.doc_id").eqNullSafe(F.col("ours.doc_id")) & (F.col("hits.text_key") == F.col("ours.text_key"))

@@ -1,5 +1,7 @@
 """Near-duplicate join, exact dedup and decontamination."""
 
+import itertools
+import math
 import random
 
 import numpy as np
@@ -112,6 +114,37 @@ def test_passages_with_substitutions(spark, seeds):
     assert best[1].doc_begin == 2 and best[1].n_matched == 20 and best[2].n_matched == 18 and best[8].doc_begin == 20
 
 
+def test_masks_meet_every_overlap():
+    for n in range(1, decontam.WINDOW + 1):
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontam.masks_for(n)]
+        seeds = [{at + i for i in kept} for kept in masks for at in range(n - kept[-1])]
+        for gone in itertools.combinations(range(n), n - math.ceil(n * decontam.AGREE)):
+            assert any(seed.isdisjoint(gone) for seed in seeds), (n, gone)
+    assert decontam.masks_for(500) == decontam.masks_for(decontam.WINDOW)
+
+
+@pytest.mark.parametrize("seeds", [10**6, 0])
+def test_overlaps_that_fixed_masks_missed(spark, seeds):
+    """Items of every length, with all differences that count and with one more."""
+    rng = random.Random(1)
+    items, docs, want = [], [], set()
+    for n in range(1, 25):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        window = min(n, decontam.WINDOW)
+        most = window - math.ceil(window * decontam.AGREE)
+        for k in range(12):
+            begin = rng.randrange(n - window + 1)
+            gone = rng.sample(range(begin, begin + window), most + k % 2)
+            part = ["x" if p in gone else words[p] for p in range(begin, begin + window)]
+            docs.append((len(docs), " ".join(["before", *part, "after"])))
+            if k % 2 == 0:
+                want.add((len(docs) - 1, n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contaminated(spark.createDataFrame(docs, DOC), bench, seeds).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+
+
 def test_native_plan(spark, sf_dir):
     from granary import llm
 
