@@ -9,8 +9,8 @@ A broadcast of every shard to all documents would cost documents times shards. S
 anchor, a document's pieces can match in one shard only, so each automaton is built where its
 documents are sent, and is never larger than a shard.
 
-Words are runs of other signs than white space and are left unchanged; null texts have none. Rows that share a doc_id are the
-same place, so copies of a row repeat nothing.
+Words are runs of other signs than white space and are left unchanged; null texts have none. Rows that share doc_id and text
+(null ids too) are the same place, so copies of a row repeat nothing.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def solve(shard: list[tuple[int, Piece]], window: int = WINDOW) -> Iterator[tupl
         firsts: dict[bytes, Piece] = {}
         for _, piece in group:
             seen = firsts.setdefault(piece.content, piece)
-            if (seen.doc_id, seen.begin) != (piece.doc_id, piece.begin):
+            if (seen.doc_id, seen.text_key, seen.begin) != (piece.doc_id, piece.text_key, piece.begin):
                 yield piece, np.ones(piece.count, bool)
         if len(firsts) < 2:
             continue  # the windows of one piece hold their anchor at different places and so differ

@@ -6,8 +6,8 @@ sorted order. Buckets are then refined: their members are sorted by the bucket o
 doubles the compared length, and the new names are used by all later rounds. Buckets of one
 suffix are left alone, and the last round compares exactly ``WINDOW`` bytes: members of a common bucket are repeats.
 
-Every place of a repeated string is removed. Texts are UTF-8 bytes, null is empty; rows that share a doc_id are the
-same place, so copies of a row repeat nothing.
+Every place of a repeated string is removed. Texts are UTF-8 bytes, null is empty; rows that share doc_id and text
+(null ids too) are the same place, so copies of a row repeat nothing.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def solve(shard: list[tuple[int, Piece]], window: int = WINDOW) -> Iterator[tupl
         for _, piece in group:
             places.setdefault(piece.content, []).append(piece)
         for same in places.values():
-            if len({(p.doc_id, p.begin) for p in same}) > 1:
+            if len({(p.doc_id, p.text_key, p.begin) for p in same}) > 1:
                 for piece in same:
                     yield piece, np.ones(piece.count, bool)
         if len(places) > 1:  # else: the windows of one piece hold their anchor at different places and so differ

@@ -10,8 +10,8 @@
    What a text repeats itself is one row with all its places, at every step.
 4. The repeated windows of each text are united and taken out of the text.
 
-Intermediate tables are written to the shared folder. Rows that share a doc_id count as the same place. Null texts are
-empty; null ids are a place of their own.
+Intermediate tables are written to the shared folder. Texts are told apart by doc_id and, where ids are null or
+repeated, by a digest of the text: rows that share both count as the same place. Null texts are empty.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ class Piece:
     count: int
     content: bytes
     again: bytes | None = None
+    text_key: int = 0
 
 
 #: Gets the pieces of some anchors as (anchor, piece), sorted by anchor and place; returns (piece, repeated windows).
@@ -64,8 +65,16 @@ class Kind:
     shard: int = 1 << 20  # bytes of pieces that a solver gets at a time
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+#: What tells texts apart.
+TEXT = ["doc_id", "text_key"]
+
+
+def _documents(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, text_key, text), and whether ids are null or repeated; where they aren't, ``text_key`` is 0 and takes no room."""
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    shared = docs.select(ids).groupBy("doc_id").count().filter((F.col("count") > 1) | (F.col("doc_id") == NO_ID)).limit(1).count() > 0
+    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if shared else F.lit(0).cast("long")
+    return docs.select(ids, text_key.alias("text_key"), "text"), shared
 
 
 def _write(df: DataFrame, label: str) -> DataFrame:
@@ -76,12 +85,12 @@ def _write(df: DataFrame, label: str) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(key, doc_id, places, pieces, begin, count, more): each anchor of each text once.
+    """(key, doc_id, text_key, places, pieces, begin, count, more): each anchor of each text once.
 
     ``pieces``: different pieces around its places; ``more``: places after the first (begin and count of 32 bits).
     """
     schema = pa.schema(
-        [("key", pa.int64()), ("doc_id", pa.int64()), ("places", pa.int32()), ("pieces", pa.int32()), ("begin", pa.int32()), ("count", pa.int32()), ("more", pa.binary())]
+        [("key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("places", pa.int32()), ("pieces", pa.int32()), ("begin", pa.int32()), ("count", pa.int32()), ("more", pa.binary())]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +116,11 @@ def _anchors(docs: DataFrame, kind: Kind) -> DataFrame:
                     more[k] = own[1:].tobytes()
                     at_unit = at[text[first[k]]] + own[:, 0].astype(np.int64)
                     pieces[k] = len(np.unique(W.range_hashes_at(units, at_unit, own[:, 1] + kind.window - 1)))
-                columns = [key[first], part.column("doc_id").to_numpy()[text[first]], n, pieces, places[first, 0], places[first, 1], more]
+                own_text = [part.column(c).to_numpy()[text[first]] for c in TEXT]
+                columns = [key[first], *own_text, n, pieces, places[first, 0], places[first, 1], more]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "key long, doc_id long, places int, pieces int, begin int, count int, more binary")
+    return docs.mapInArrow(run, "key long, doc_id long, text_key long, places int, pieces int, begin int, count int, more binary")
 
 
 def _units(text: str | None, kind: Kind):
@@ -123,13 +133,13 @@ def _content(units, begin: int, end: int) -> bytes:
     return b" ".join(part) if isinstance(part, list) else part
 
 
-_PIECE = "key long, doc_id long, begin int, count int, hot boolean, content binary, again binary"
+_PIECE = "key long, doc_id long, text_key long, begin int, count int, hot boolean, content binary, again binary"
 _PIECE_ARROW = pa.schema(
-    [("key", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("count", pa.int32()), ("hot", pa.bool_()), ("content", pa.binary()), ("again", pa.binary())]
+    [("key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int32()), ("count", pa.int32()), ("hot", pa.bool_()), ("content", pa.binary()), ("again", pa.binary())]
 )
 
 
-def _pieces_of(units, doc_id: int, marks: Iterable[tuple], kind: Kind) -> Iterator[tuple]:
+def _pieces_of(units, doc_id: int, text_key: int, marks: Iterable[tuple], kind: Kind) -> Iterator[tuple]:
     """Rows of ``_PIECE`` of one text; each content once."""
     for key, hot, begin, count, more in marks:
         places = [(begin, count)]
@@ -142,7 +152,7 @@ def _pieces_of(units, doc_id: int, marks: Iterable[tuple], kind: Kind) -> Iterat
                     digest = hashlib.blake2b(_content(units, k, k + kind.window), digest_size=16).digest()
                     found.setdefault(digest, []).append(k)
         elif more is None:
-            yield key, doc_id, begin, count, False, _content(units, begin, begin + count + kind.window - 1), None
+            yield key, doc_id, text_key, begin, count, False, _content(units, begin, begin + count + kind.window - 1), None
             continue
         else:
             sizes = {}
@@ -153,9 +163,9 @@ def _pieces_of(units, doc_id: int, marks: Iterable[tuple], kind: Kind) -> Iterat
         for content, begins in found.items():
             again = np.array(begins[1:], np.int32).tobytes() if len(begins) > 1 else None
             if hot:
-                yield int.from_bytes(content[:8], "little", signed=True), doc_id, begins[0], 1, True, content, again
+                yield int.from_bytes(content[:8], "little", signed=True), doc_id, text_key, begins[0], 1, True, content, again
             else:
-                yield key, doc_id, begins[0], sizes[content], False, content, again
+                yield key, doc_id, text_key, begins[0], sizes[content], False, content, again
 
 
 def _cut(marked: DataFrame, kind: Kind) -> DataFrame:
@@ -163,18 +173,19 @@ def _cut(marked: DataFrame, kind: Kind) -> DataFrame:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            texts, ids, marks = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("marks")
+            texts, marks = batch.column("text"), batch.column("marks")
+            ids = zip(*(batch.column(c).to_pylist() for c in TEXT), strict=True)
             fields = marks.flatten()
             fields = [fields.field(n).to_pylist() for n in ("key", "hot", "begin", "count", "more")]
             ends = np.cumsum(marks.value_lengths().to_numpy()).tolist()
             done = 0
-            for i, doc_id in enumerate(ids):
+            for i, own_text in enumerate(ids):
                 units = _units(texts[i].as_py(), kind)
                 own = zip(*(f[done : ends[i]] for f in fields), strict=True)
                 done = ends[i]
-                for row in _pieces_of(units, doc_id, own, kind):
+                for row in _pieces_of(units, *own_text, own, kind):
                     rows.append(row)
-                    size += 32 + len(row[5])
+                    size += 32 + len(row[6])
                     if size > 4_000_000:
                         yield _rows(rows, _PIECE_ARROW)
                         rows, size = [], 0
@@ -196,30 +207,32 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _solve(pieces: DataFrame, kind: Kind) -> DataFrame:
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
     def solved(shard: list[tuple[int, Piece]]) -> pa.RecordBatch:
-        ids, begins, ends = [], [], []
+        ids, keys, begins, ends = [], [], [], []
         for _, piece in shard:
             if piece.again:  # what a text repeats itself is repeated whatever else there is
                 again = np.frombuffer(piece.again, np.int32)
                 again = again if kind.keep_first else np.append(again, piece.begin)
                 ids.append(np.full(len(again), piece.doc_id, np.int64))
+                keys.append(np.full(len(again), piece.text_key, np.int64))
                 begins.append(again)
                 ends.append(again + piece.count + kind.window - 1)
         for piece, flags in kind.solver(shard):
             first, last = _runs(flags)
             ids.append(np.full(len(first), piece.doc_id, np.int64))
+            keys.append(np.full(len(first), piece.text_key, np.int64))
             begins.append(piece.begin + first)
             ends.append(piece.begin + last + kind.window - 1)
-        columns = [np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((ids, np.int64), (begins, np.int32), (ends, np.int32))]
+        columns = [np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((ids, np.int64), (keys, np.int64), (begins, np.int32), (ends, np.int32))]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple[int, Piece]] = []
         size = 0
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("key", "doc_id", "begin", "count", "content", "again")]
+            columns = [batch.column(n).to_pylist() for n in ("key", "doc_id", "begin", "count", "content", "again", "text_key")]
             for key, *place in zip(*columns, strict=True):
                 if size > kind.shard and shard[-1][0] != key:
                     yield solved(shard)
@@ -229,14 +242,14 @@ def _solve(pieces: DataFrame, kind: Kind) -> DataFrame:
         if shard:
             yield solved(shard)
 
-    dealt = pieces.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "begin")
-    return dealt.mapInArrow(run, "doc_id long, begin int, end int")
+    dealt = pieces.repartition(parts, "key").sortWithinPartitions("key", *TEXT, "begin")
+    return dealt.mapInArrow(run, "doc_id long, text_key long, begin int, end int")
 
 
 def _hot_windows(pieces: DataFrame, kind: Kind) -> DataFrame:
     """Repeated windows among those that were sent by digest."""
     window = ["key", "content"]
-    place = F.struct("doc_id", "begin")
+    place = F.struct(*TEXT, "begin")
     groups = pieces.groupBy(*window).agg(
         F.min(place).alias("low"), F.max(place).alias("high"), F.max(F.col("again").isNotNull()).alias("within"), F.count(F.lit(1)).alias("n")
     )
@@ -247,47 +260,47 @@ def _hot_windows(pieces: DataFrame, kind: Kind) -> DataFrame:
         begins = F.when(place == F.col("low"), F.array().cast("array<int>")).otherwise(F.array("begin"))
     else:
         begins = F.array("begin")
-    return found.select("doc_id", begins.alias("begins"), "again")
+    return found.select(*TEXT, begins.alias("begins"), "again")
 
 
 def _spread(found: DataFrame, kind: Kind) -> DataFrame:
     """Spans of windows that were found by digest, neighbours in a batch united."""
-    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at = [], []
-            for doc_id, begins, again in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "begins", "again")), strict=True):
+            ids, keys, at = [], [], []
+            for doc_id, text_key, begins, again in zip(*(batch.column(n).to_pylist() for n in (*TEXT, "begins", "again")), strict=True):
                 own = np.array(begins, np.int64)
                 if again:
                     own = np.append(own, np.frombuffer(again, np.int32))
                 ids.append(np.full(len(own), doc_id, np.int64))
+                keys.append(np.full(len(own), text_key, np.int64))
                 at.append(own)
             if not ids:
                 continue
-            ids, at = np.concatenate(ids), np.concatenate(at)
-            order = np.lexsort((at, ids))
-            ids, at = ids[order], at[order]
+            ids, keys, at = np.concatenate(ids), np.concatenate(keys), np.concatenate(at)
+            order = np.lexsort((at, keys, ids))
+            ids, keys, at = ids[order], keys[order], at[order]
             new = np.ones(len(at), bool)
-            new[1:] = (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + kind.window)
+            new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (at[1:] > at[:-1] + kind.window)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1 if len(at) else first
-            columns = [ids[first], at[first].astype(np.int32), (at[last] + kind.window).astype(np.int32)]
+            columns = [ids[first], keys[first], at[first].astype(np.int32), (at[last] + kind.window).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-    return found.mapInArrow(run, "doc_id long, begin int, end int")
+    return found.mapInArrow(run, "doc_id long, text_key long, begin int, end int")
 
 
 def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(doc_id, begin, end) of units covered by repeated windows; spans of a text may overlap."""
-    docs = _documents(docs)
+    """(doc_id, text_key, begin, end) of units covered by repeated windows of ``_documents``, each once; spans of a text may overlap."""
     found = _write(_anchors(docs, kind), "anchors")
     counts = found.groupBy("key").agg(F.sum("places").alias("total"), (F.sum("pieces") >= kind.hot).alias("hot"), F.count(F.lit(1)).alias("rows"))
     counts = narrow(counts.filter(F.col("total") >= 2).drop("total"), "anchor-counts")
-    marks = join_counted(found, counts, "key", "rows", "inner").groupBy("doc_id").agg(
+    marks = join_counted(found, counts, "key", "rows", "inner").groupBy(*TEXT).agg(
         F.collect_list(F.struct("key", "hot", "begin", "count", "more")).alias("marks")
     )  # one text's own anchors, so no more than the text is long
-    pieces = _write(_cut(docs.join(marks, "doc_id"), kind), "pieces")
+    pieces = _write(_cut(docs.join(marks, TEXT), kind), "pieces")
     usual = _solve(pieces.filter(~F.col("hot")).drop("hot"), kind)
     hot = _spread(_hot_windows(pieces.filter("hot").drop("hot"), kind), kind)
     return narrow(usual.unionByName(hot), "spans")
@@ -298,8 +311,10 @@ KEPT = "doc_id long, n_units long, n_removed long, spans array<struct<begin:long
 
 def without_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     """One row per document: its units, those removed, the removed spans (maximal), and what is left."""
-    spans = repeated_spans(docs, kind).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
-    joined = _documents(docs).join(spans, "doc_id", "left")
+    docs, shared = _documents(docs)
+    spans = repeated_spans(docs.dropDuplicates(TEXT) if shared else docs, kind)
+    spans = spans.groupBy(*TEXT).agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    joined = docs.join(spans, TEXT, "left")
     pair = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pair)), ("kept", pa.binary())])
 

@@ -101,3 +101,26 @@ def test_same_place_is_no_repeat():
     piece = Piece(1, 0, 1, b"a b c d")
     assert list(automaton.solve([(5, piece), (5, piece)], 4)) == []
     assert list(refine.solve([(5, piece), (5, piece)], 4)) == []
+
+
+@pytest.mark.parametrize("hot", [2, 4096])
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_without_ids_of_their_own(spark, doc_id, hot):
+    """Texts of unlike length that share a passage and a null or repeated id."""
+    passage = " ".join(f"p{k}q" for k in range(12))
+    long = passage + " " + " ".join(f"long{k}" for k in range(60))
+    short = "begins otherwise with more words than none " + passage
+    texts = [long, short, short, "clean " * 3 + " ".join(f"c{k}" for k in range(50)), None]
+    df = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string").repartition(3)
+    kind = dataclasses.replace(automaton.KIND, window=8, gram=3, hot=hot, solver=lambda s: automaton.solve(s, 8))
+    found = automaton.dedup_passages(df, kind).collect()
+    assert len(found) == 5 and all(r.doc_id == doc_id for r in found)
+    kept = sorted(r.text for r in found)
+    whole = [" ".join((t or "").split()) for t in texts]
+    # the passage goes from one of the two texts; the copied row is one place
+    assert kept in (sorted([whole[0].replace(passage, "").strip(), *whole[1:]]), sorted([t if t != short else t.replace(passage, "").strip() for t in whole]))
+    kind = dataclasses.replace(refine.KIND, window=len(passage) - 5, gram=4, hot=hot, solver=lambda s: refine.solve(s, len(passage) - 5))
+    found = refine.dedup_bytes(df, kind).collect()
+    cut = [(t or "").replace(passage, "") for t in texts]
+    assert [len(t) for t in sorted(bytes(r.kept).decode().strip() for r in found)] == [len(t.strip()) for t in sorted(x.strip() for x in cut)]
+    assert len(found) == 5 and sum(r.n_removed for r in found) == 3 * len(passage)
