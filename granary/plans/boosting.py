@@ -346,7 +346,7 @@ def _(t: Tables):
 
 @query("cross_validate")
 def _(t: Tables):
-    """Three-fold comparison of native, ordinal and one-hot encodings."""
+    """Two of the configurations of the comparison, regression only: ordinal and native partition encoding, one round of depth two."""
     return crossval.cross_validate(
         customer_rows(t), "label", "p_partkey", REGRESSION, ["hist-ord", "hist-part"], n_iter=1, depth=2
     )
