@@ -8,9 +8,10 @@ from granary.session import materialize
 
 
 def narrow(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder in about as many files as cores run, and read it back.
+    """Write ``df`` to the shared folder with the tasks that compute it, and read it back.
 
-    Tables of ids, counts and links are far smaller than the texts that they come from; as many files as
-    shuffle partitions would be mostly overhead.
+    The computation keeps its own partitions (``spark.sql.shuffle.partitions`` after a shuffle); tables of ids, counts
+    and links are far smaller than the texts that they come from, and the scan of the written table packs their small
+    files into splits of ``spark.sql.files.maxPartitionBytes``, so no stage is pulled into fewer tasks to write fewer files.
     """
-    return materialize(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), label)
+    return materialize(df, label)
