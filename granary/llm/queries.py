@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.llm import automaton, chat, decontam, exact, jaccard, langid, pack, ppm, refine, toxic
+from granary.llm import automaton, chat, decontam, exact, jaccard, langid, merkle, pack, ppm, refine, search, simhash, toxic
 from granary.llm.registry import query, table
 
 
@@ -185,3 +185,53 @@ def op8_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = ppm.scores(docs, ppm.train(docs.filter(_fold(5) != 1)))
     return found.select("doc_id", (_fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+_TERMS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{search.UPPER}', '{search.LOWER}'), '{search.TERM}')"
+)
+
+
+@query(
+    "op11_ranked_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS rk, doc_id, {_TERMS} AS t FROM documents),
+    tf AS (SELECT rk, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM (SELECT rk, doc_id, unnest(t) AS term FROM d) GROUP BY rk, term),
+    dn AS (SELECT rk, sum(tf)::BIGINT AS n FROM tf GROUP BY rk),
+    tot AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM dn),
+    w AS (SELECT term, floor(1000 * ln((2 * big_n::DOUBLE + 2) / (2 * count(*)::DOUBLE + 1)))::BIGINT AS w FROM tf, tot GROUP BY term, big_n),
+    m AS (SELECT rk, 25 + (75 * n * big_n) // big_l AS m FROM dn, tot),
+    q AS (SELECT item_id, term, count(*) AS qc FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+    s AS (SELECT q.item_id, tf.rk, tf.doc_id, sum(qc * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+          FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rk) GROUP BY ALL),
+    r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+          FROM s WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= {search.TOP}
+    """,
+)
+def op11_ranked_search(spark, sf_dir):
+    """Every benchmark item as a query against all documents."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_simhash")
+def op12_simhash(spark, sf_dir):
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def _tampered(docs):
+    """Rows whose unsigned crc32 of the decimal doc_id 7 divides get n_chars + 1 (nulls stay)."""
+    hit = (F.crc32(F.col("doc_id").cast("string")) % 7) == 0
+    return F.when(hit & F.col("n_chars").isNotNull(), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+
+
+@query("op13_merkle_manifest")
+def op13_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.manifest(docs)
+    changed = merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), _tampered(found), F.col("text"))
+    folded = merkle.fold(changed, F.col("proof"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", folded.alias("folded_root"), (folded == F.col("root")).alias("verified")
+    )
