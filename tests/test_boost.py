@@ -198,3 +198,29 @@ def test_cross_validation_of_classes(spark, data):
     rows = data.select("id", "f0", F.col("f2").cast("string").alias("kind"), "b")
     out = crossval.cross_validate(rows, "b", "id", "binary:logistic", ["hist-part"], k=2, n_iter=1, depth=2).collect()
     assert all(0.5 < r["score"] <= 1 for r in out)
+
+
+@pytest.mark.parametrize("objective, label", [("reg:squarederror", "y"), ("binary:logistic", "b"), ("multi:softprob", "c")])
+def test_subtraction_equals_counting_both_children(spark, data, monkeypatch, objective, label):
+    """Larger children derived from parent minus sibling give the same trees as counting every child."""
+    from granary.operators import train
+
+    params = {**FAST, "max_depth": 4, "objective": objective, **({"num_class": 3} if objective.startswith("multi") else {})}
+    counted_children = []
+    subtracted = train._Run._subtracted
+
+    def spy(self, trees, pairs, r):
+        counted_children.extend((i, c) for i, _, c, _ in pairs)
+        return subtracted(self, trees, pairs, r)
+
+    monkeypatch.setattr(train._Run, "_subtracted", spy)
+    derived = train_gbt(data, ROWS, label, params, 2, categorical=["f2"], exact_cuts=True)
+    assert counted_children  # the derived path ran
+
+    def count_both(self, trees, pairs, r):
+        return self._histogram(trees, sorted({(i, n) for i, _, c, d in pairs for n in (c, d)}), r)
+
+    monkeypatch.setattr(train._Run, "_subtracted", count_both)
+    counted = train_gbt(data, ROWS, label, params, 2, categorical=["f2"], exact_cuts=True)
+    assert bag_difference(derived.nodes(spark), counted.nodes(spark)).first()["equal"]
+    assert [t.weight for t in derived.trees] == [t.weight for t in counted.trees]
