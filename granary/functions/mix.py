@@ -28,6 +28,7 @@ VALUE_LANE = 0
 MASK_LANE = 1
 NOISE_LANE = 2
 TARGET_LANE = 3
+SAMPLE_LANE = 4
 
 SCALE = 1.5
 
@@ -87,3 +88,44 @@ def target_coefficients(n_targets: int) -> list[float]:
     """One coefficient per target, a function of the target number alone."""
     pairs = [scrambled(t, TARGET_LANE, 0) for t in range(n_targets)]
     return [SCALE * normal_of(x, z, math) for x, z in pairs]
+
+
+class Sql:
+    """An SQL expression that the arithmetic above accepts, so that the same draws can be written as SQL text."""
+
+    def __init__(self, text) -> None:
+        self.text = str(text)
+
+    def _op(self, other, op: str, swap: bool = False) -> Sql:
+        a, b = self.text, other.text if isinstance(other, Sql) else str(other)
+        return Sql(f"({b} {op} {a})" if swap else f"({a} {op} {b})")
+
+    def __add__(self, other):
+        return self._op(other, "+")
+
+    def __radd__(self, other):
+        return self._op(other, "+", True)
+
+    def __mul__(self, other):
+        return self._op(other, "*")
+
+    def __rmul__(self, other):
+        return self._op(other, "*", True)
+
+    def __mod__(self, other):
+        return self._op(other, "%")
+
+    def __str__(self) -> str:
+        return self.text
+
+
+def sample_draw(cell, key: int):
+    """A draw in [0, MODULUS) for a non-negative integer ``cell`` and a key (seed, round, tree) below 2**40.
+
+    Columns, integers and ``Sql`` alike; both Spark and SQL engines keep every product below 2**63.
+    """
+    x, _ = start_pair(cell, SAMPLE_LANE, key)
+    for first, second in ROUNDS:
+        x, z = next_pair(x, _, first, second)
+        _ = z
+    return x

@@ -12,6 +12,8 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions import mix
+
 MISSING = -1
 MIN_GAIN = 1e-6
 MIN_HESS = 1e-16
@@ -230,7 +232,17 @@ def best_splits(
     return out.withColumn("categories", F.coalesce("categories", "__set")).drop("__set", "position")
 
 
+def sample_key(round_: int, tree: int, seed: int) -> int:
+    """The key of one tree's row sample, below 2**40."""
+    return ((seed % 65536) * 65536 + round_ % 65536) * 256 + tree % 256
+
+
 def subsample_keep(row_id: Column, round_: int, tree: int, rate: float, seed: int) -> Column:
-    """Whether a row takes part in a tree: a function of the row id, so the same on any cluster."""
-    draw = F.pmod(F.xxhash64(row_id, F.lit(seed), F.lit(round_), F.lit(tree)), F.lit(1 << 30))
-    return draw < F.lit(int(rate * (1 << 30)))
+    """Whether a row takes part in a tree: integer mixing of the row id and the tree's key, so the same on any cluster and
+    in SQL (``subsample_keep_sql``)."""
+    return mix.sample_draw(row_id, sample_key(round_, tree, seed)) < F.lit(int(rate * mix.MODULUS))
+
+
+def subsample_keep_sql(row_id: str, round_: int, tree: int, rate: float, seed: int) -> str:
+    """``subsample_keep`` as an SQL predicate on the integer expression ``row_id``."""
+    return f"({mix.sample_draw(mix.Sql(row_id), sample_key(round_, tree, seed))} < {int(rate * mix.MODULUS)})"

@@ -166,8 +166,10 @@ FEATURES = ["l_quantity", "l_discount", "l_tax", "o_totalprice"]
 SMALL = {"max_depth": 3, "max_bin": 32, "eta": 0.5}
 
 
-def training_rows(t: Tables) -> DataFrame:
-    """Whole line items with a validation mark by ship date and several labels."""
+def training_rows(t: Tables, row_id=None) -> DataFrame:
+    """Whole line items with a validation mark by ship date and several labels; ``row_id`` by default a hash of the item."""
+    if row_id is None:
+        row_id = F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     return fx.enriched(t).select(
         *FEATURES,
         (F.col("l_extendedprice") / F.lit(1000)).alias("price"),
@@ -175,15 +177,35 @@ def training_rows(t: Tables) -> DataFrame:
         (F.col("l_extendedprice") > 50000).cast("int").alias("dear"),
         F.pmod("l_linenumber", F.lit(3)).alias("line_class"),
         (F.dayofmonth("l_shipdate") >= 25).alias("is_valid"),
-        F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").alias("row_id"),
+        row_id.alias("row_id"),
     )
 
 
-def training_rows_sql(label: str, valid: str = "day(l_shipdate) >= 25") -> str:
-    return f"""SELECT row_number() OVER () AS rid, {", ".join(FEATURES)}, {label} AS y, {valid} AS is_valid
+def training_rows_sql(label: str, valid: str = "day(l_shipdate) >= 25", key: str = "NULL") -> str:
+    """Rows numbered by ``rid``; ``skey`` is the key that row sampling draws from."""
+    return f"""SELECT row_number() OVER () AS rid, {key} AS skey, {", ".join(FEATURES)}, {label} AS y, {valid} AS is_valid
       FROM ({fx.ENRICHED_SQL})"""
 
 
+# a line item's key as one integer, the same in Spark and SQL (not unique: items that share it are drawn together)
+LINE_KEY_SQL = "l_orderkey * 8 + l_linenumber"
+ROW_SAMPLE = {**SMALL, "subsample": 0.5, "seed": 7}
+
+
+@query(
+    "train_gbt_rowsample",
+    training_sql(
+        training_rows_sql("l_extendedprice / 1000", key=LINE_KEY_SQL), FEATURES, ROW_SAMPLE, 2, evals_sql(2),
+        keep=lambda r: boost.subsample_keep_sql("skey", r, 0, ROW_SAMPLE["subsample"], ROW_SAMPLE["seed"]),
+    ),
+)
+def _(t: Tables):
+    """Row sampling: each round's tree learns from the half of the rows that an integer mix of the line key selects."""
+    rows = training_rows(t, F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    model = train_gbt(rows, FEATURES, "price", ROW_SAMPLE, 2, row_id="row_id", valid="is_valid", exact_cuts=True)
+    return model.evals(t.spark).withColumn("score", r6("score"))
+
+
 @query("train_gbt", training_sql(training_rows_sql("l_extendedprice / 1000"), FEATURES, SMALL, 3, evals_sql(3)))
 def _(t: Tables):
     model = train_gbt(training_rows(t), FEATURES, "price", SMALL, 3, valid="is_valid", exact_cuts=True)

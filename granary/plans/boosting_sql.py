@@ -23,12 +23,12 @@ def _bins(features: Sequence[str], max_bin: int) -> str:
       FROM cells c ASOF LEFT JOIN cuts ON c.f = cuts.f AND c.v >= cuts.v)"""
 
 
-def _level(name: str, before: str, grads: str, lam: float) -> str:
+def _level(name: str, before: str, grads: str, lam: float, keep: str = "TRUE") -> str:
     """Nodes of the next level: rows of a node with a valid split move to 2n or 2n + 1."""
     score = lambda g, h: f"(({g}) / {UNIT}e0) * (({g}) / {UNIT}e0) / (({h}) / {UNIT}e0 + {lam}e0)"
     return f"""
     {name}_h AS (SELECT node, f, bin, sum(g) AS g, sum(h) AS h FROM {before} JOIN {grads} USING (rid) JOIN bins USING (rid)
-      WHERE NOT is_valid GROUP BY ALL),
+      WHERE NOT is_valid AND {keep} GROUP BY ALL),
     {name}_c AS (SELECT *, sum(g) OVER u AS ug, sum(h) OVER u AS uh, sum(g) OVER e AS tg, sum(h) OVER e AS th,
         coalesce(sum(g) FILTER (bin = -1) OVER e, 0) AS mg, coalesce(sum(h) FILTER (bin = -1) OVER e, 0) AS mh
       FROM {name}_h WINDOW u AS (PARTITION BY node, f ORDER BY bin ROWS UNBOUNDED PRECEDING), e AS (PARTITION BY node, f)),
@@ -44,8 +44,14 @@ def _level(name: str, before: str, grads: str, lam: float) -> str:
       FROM {before} r LEFT JOIN {name}_b s ON r.node = s.node LEFT JOIN bins b ON b.rid = r.rid AND b.f = s.f)"""
 
 
-def training_sql(rows: str, features: Sequence[str], params: dict, rounds: int, result: str, logistic: bool = False) -> str:
-    """``result`` may read ``rows`` (rid, y, is_valid, features) and ``m0`` .. (rid, m), the margins before each round."""
+def training_sql(
+    rows: str, features: Sequence[str], params: dict, rounds: int, result: str, logistic: bool = False, keep=None
+) -> str:
+    """``result`` may read ``rows`` (rid, y, is_valid, features) and ``m0`` .. (rid, m), the margins before each round.
+
+    ``keep(r)``, if given, is the SQL predicate on the columns of ``rows`` that selects the rows the tree of round r learns
+    from (row sampling); all rows still pass through the tree and get its weights.
+    """
     lam, eta, depth = params.get("reg_lambda", 1.0), params["eta"], params["max_depth"]
     mean = "CAST(printf('%.9g', avg(y)) AS DOUBLE)"
     base = f"ln({mean} / (1 - {mean}))" if logistic else mean
@@ -62,10 +68,14 @@ def training_sql(rows: str, features: Sequence[str], params: dict, rounds: int,
             f"FROM rows JOIN m{r} USING (rid))"
         )
         parts.append(f"n{r}_0 AS (SELECT rid, 1 AS node FROM rows)")
-        parts += [_level(f"n{r}_{d + 1}", f"n{r}_{d}", f"g{r}", lam) for d in range(depth)]
+        kept = "TRUE"
+        if keep:
+            parts.append(f"k{r} AS MATERIALIZED (SELECT rid FROM rows WHERE {keep(r)})")
+            kept = f"rid IN (SELECT rid FROM k{r})"
+        parts += [_level(f"n{r}_{d + 1}", f"n{r}_{d}", f"g{r}", lam, kept) for d in range(depth)]
         parts.append(
             f"w{r} AS (SELECT node, -{eta}e0 * (sum(g) / {UNIT}e0) / (sum(h) / {UNIT}e0 + {lam}e0) AS w FROM n{r}_{depth} JOIN g{r} USING (rid) "
-            "WHERE NOT is_valid GROUP BY node)"
+            f"WHERE NOT is_valid AND {kept} GROUP BY node)"
         )
         parts.append(f"m{r + 1} AS MATERIALIZED (SELECT rid, m + w AS m FROM m{r} JOIN n{r}_{depth} USING (rid) JOIN w{r} USING (node))")
     return f"WITH {', '.join(parts)} {result}"
