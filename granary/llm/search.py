@@ -46,28 +46,34 @@ def terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"({TERM})"), 1), F.array().cast("array<string>"))
 
 
-def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per distinct (id, text) with its multiplicity, digest and terms."""
-    grouped = df.groupBy(F.col(key).alias("_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_digest"), F.col(text).isNull().alias("_null"))
-    return grouped.agg(F.count(F.lit(1)).alias("_copies"), F.first(text).alias("_text"))
-
-
-def postings(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """(doc_id, digest, copies, term, tf, m) for every term of every document; with N and L."""
-    keyed = _keyed(docs, "doc_id", "text")
-    words = keyed.select("_id", "_digest", "_copies", F.explode(terms(F.col("_text"))).alias("term"))
-    counted = words.groupBy("_id", "_digest", "_copies", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = narrow(counted, "search-postings")
-    per_doc = counted.groupBy("_id", "_digest", "_copies").agg(F.sum("tf").alias("n"))
-    totals = per_doc.agg(F.sum("_copies").alias("N"), F.sum(F.col("n") * F.col("_copies")).alias("L")).first()
+def _text_key(text: Column) -> Column:
+    """A 64-bit key of a text that tells null from empty."""
+    return F.xxhash64(text.isNull(), F.coalesce(text, F.lit("")))
+
+
+def postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, int]:
+    """(_id, _dkey, _copies, term, tf, m) for every occurrence of a ``vocabulary`` term in a document; with N and L.
+
+    N and L count all terms of all documents. Texts are never shuffled: rows that repeat a doc_id and text are counted
+    by their keys alone, and only the query terms of each text are dealt out.
+    """
+    rows = docs.select(F.col("doc_id").alias("_id"), _text_key(F.col("text")).alias("_dkey"), terms(F.col("text")).alias("_t"))
+    sizes = rows.groupBy("_id", "_dkey").agg(F.count(F.lit(1)).alias("_copies"), F.max(F.size("_t")).cast("long").alias("n"))
+    sizes = narrow(sizes, "search-sizes")
+    totals = sizes.filter(F.col("n") > 0).agg(F.sum("_copies").alias("N"), F.sum(F.col("n") * F.col("_copies")).alias("L")).first()
     big_n, big_l = int(totals["N"] or 0), int(totals["L"] or 0)
     if big_n == 0:
-        return counted.withColumn("m", F.lit(0).cast("long")), 0, 0
+        return None, 0, 0
+    if vocabulary.count() <= _BROADCAST_ROWS:
+        vocabulary = F.broadcast(vocabulary)
+    words = rows.select("_id", "_dkey", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
+    counted = words.groupBy("_id", "_dkey", "term").agg(F.count(F.lit(1)).alias("_occ"))
     m = F.lit(B_FIXED).cast("long") + F.expr(f"({B_SCALED}L * n * {big_n}L) div {big_l}L")
-    per_doc = per_doc.select(F.col("_id").alias("_pid"), F.col("_digest").alias("_pdigest"), m.alias("m"))
-    cond = counted["_id"].eqNullSafe(per_doc["_pid"]) & (counted["_digest"] == per_doc["_pdigest"])
-    sized = counted.join(per_doc, cond).select("_id", "_digest", "_copies", "term", "tf", "m")
-    return narrow(sized, "search-sized"), big_n, big_l
+    sizes = sizes.select(F.col("_id").alias("_sid"), F.col("_dkey").alias("_skey"), "_copies", m.alias("m"))
+    cond = counted["_id"].eqNullSafe(sizes["_sid"]) & (counted["_dkey"] == sizes["_skey"])
+    # copies of a row add equal counts, so the count of one is the quotient
+    sized = counted.join(sizes, cond).select("_id", "_dkey", "_copies", "term", (F.col("_occ") / F.col("_copies")).cast("long").alias("tf"), "m")
+    return narrow(sized, "search-postings"), big_n, big_l
 
 
 def weights(post: DataFrame, big_n: int) -> DataFrame:
@@ -79,8 +85,8 @@ def weights(post: DataFrame, big_n: int) -> DataFrame:
 
 def _top(df: DataFrame, by: list[str], k: int) -> DataFrame:
     """The first k rows per ``by`` in the order (score desc, doc_id asc nulls last, digest), in two steps by a salt."""
-    order = [F.col("score").desc(), F.col("_id").asc_nulls_last(), F.col("_digest"), F.col("_copy")]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64("_digest", "_copy"), F.lit(SALTS)))
+    order = [F.col("score").desc(), F.col("_id").asc_nulls_last(), F.col("_dkey"), F.col("_copy")]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64("_id", "_dkey", "_copy"), F.lit(SALTS)))
     first = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))).filter(F.col("_r") <= k)
     second = first.drop("_r", "_salt").withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return second.filter(F.col("rank") <= k)
@@ -91,23 +97,23 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns are ignored.
     """
-    post, big_n, big_l = postings(docs)
     schema = "item_id long, rank int, doc_id long, score long"
     spark = docs.sparkSession
-    if big_n == 0:
-        return spark.createDataFrame([], schema)
-    w = weights(post, big_n)
-    queries = _keyed(items, "item_id", "text").select(
-        F.col("_id").alias("_item"),
-        F.sha2(F.concat_ws("|", F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_id").isNull().cast("string"), "_digest"), 256).alias("_qkey"),
-        F.posexplode(terms(F.col("_text"))).alias("_pos", "term"),
+    queries = items.select(
+        F.col("item_id").alias("_item"),
+        F.xxhash64(F.col("item_id").isNull(), F.coalesce(F.col("item_id"), F.lit(0)), _text_key(F.col("text"))).alias("_qkey"),
+        F.explode(terms(F.col("text"))).alias("term"),
     )
     qterms = queries.groupBy("_item", "_qkey", "term").agg(F.count(F.lit(1)).alias("qc"))
-    number = Window.partitionBy("_qkey").orderBy("term")
+    number = Window.partitionBy("_item", "_qkey").orderBy("term")
     qterms = narrow(qterms.withColumn("bit", F.row_number().over(number) - 1), "search-queries")
     widest = qterms.agg(F.max("bit")).first()[0]
     if widest is None:
         return spark.createDataFrame([], schema)
+    post, big_n, big_l = postings(docs, qterms.select("term").distinct())
+    if big_n == 0:
+        return spark.createDataFrame([], schema)
+    w = weights(post, big_n)
     words = int(widest) // 64 + 1
     qside = qterms.join(w, "term")
     if qside.count() <= _BROADCAST_ROWS:
@@ -116,10 +122,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     part = F.expr(f"(({SCALE}L * tf) div ({TF_SCALE}L * tf + {M_SCALE}L * m))")
     hits = hits.withColumn("_gain", F.col("qc") * F.col("w") * part)
     masks = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == i, F.expr("shiftleft(1L, cast(bit % 64 AS INT))")).otherwise(F.lit(0).cast("long"))).alias(f"_mask{i}") for i in range(words)]
-    scored = hits.groupBy("_item", "_qkey", "_id", "_digest", "_copies").agg(F.sum("_gain").alias("score"), *masks)
+    scored = hits.groupBy("_item", "_qkey", "_id", "_dkey", "_copies").agg(F.sum("_gain").alias("score"), *masks)
     scored = narrow(scored.filter(F.col("score") > 0), "search-scored")
     mask_cols = [f"_mask{i}" for i in range(words)]
-    item = ["_qkey"]  # a query's key: never null, unlike item_id
+    item = ["_qkey"]  # a query's key (of item_id and text), never null unlike item_id; rows carry _item to the end
     groups = scored.groupBy(*item, *mask_cols).agg(F.max("score").alias("_best"), F.sum("_copies").alias("_count"))
     groups = narrow(groups, "search-masks")
     # masks in descending order of their best score, as many as first reach k documents (two steps per query)
