@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from granary.llm import graph
 from granary.llm.store import narrow
@@ -34,6 +35,8 @@ DISTANCE = 3
 BITS = 64
 BLOCKS = DISTANCE + 1
 GROUP = 512
+# keys of at most this many fingerprints are verified by a self-join
+SMALL = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,29 +55,45 @@ def shingle_hashes(words: Column, shingle: int = SHINGLE) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """The fingerprint of one document's hashes (int64 array), as a signed 64-bit value."""
-    if len(hashes) == 0:
-        return 0
-    counts = np.zeros(BITS, np.int64)
-    u = hashes.view(np.uint64)
+def _majority(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Fingerprints (signed int64) of the documents whose hashes are ``values[offsets[d]:offsets[d + 1]]``."""
+    n_docs = len(offsets) - 1
+    counts = np.zeros((n_docs, BITS), np.int64)
+    owner = np.repeat(np.arange(n_docs), np.diff(offsets))
+    u = values.view(np.uint64)
+    shifts = np.arange(BITS, dtype=np.uint64)
     for begin in range(0, len(u), 1 << 16):
         part = u[begin : begin + (1 << 16)]
-        counts += ((part[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(u)).astype(np.uint64)
-    return int(np.bitwise_or.reduce(bits << np.arange(BITS, dtype=np.uint64)).astype(np.int64))
-
-
-@F.pandas_udf(LongType())
-def _fingerprints(hashes: pd.Series) -> pd.Series:
-    return pd.Series([_majority(np.asarray(h, dtype=np.int64)) for h in hashes], dtype="int64")
+        bits = ((part[:, None] >> shifts) & np.uint64(1)).astype(np.int64)
+        # rows of one document are consecutive: add them per run of equal owners
+        who = owner[begin : begin + len(part)]
+        starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        counts[who[starts]] += np.add.reduceat(bits, starts, axis=0)
+    on = (2 * counts > np.diff(offsets)[:, None]).astype(np.uint64)
+    return np.bitwise_or.reduce(on << shifts, axis=1).view(np.int64)
+
+
+def _fingerprint_batches(batches, hashes: str, out: str):
+    for batch in batches:
+        column = batch.column(hashes)
+        offsets = column.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        prints = _majority(values, offsets) if batch.num_rows else np.zeros(0, np.int64)
+        at = batch.schema.get_field_index(hashes)
+        yield batch.set_column(at, pa.field(out, pa.int64()), pa.array(prints, pa.int64()))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``, the 64-bit SimHash of column ``text`` as a signed long (zero for a text without words)."""
+    """``df`` with ``out``, the 64-bit SimHash of column ``text`` as a signed long (zero for a text without words).
+
+    Shingle hashes are computed in the JVM; bit majorities are counted in NumPy over whole Arrow batches.
+    """
     spare = f"{out}_words"
     worded = df.withColumn(spare, words(F.col(text)))
-    return worded.withColumn(out, _fingerprints(shingle_hashes(F.col(spare)))).drop(spare)
+    hashed = worded.withColumn(spare, shingle_hashes(F.col(spare)))
+    schema = StructType([f if f.name != spare else StructField(out, LongType()) for f in hashed.schema.fields])
+    return hashed.mapInArrow(lambda batches: _fingerprint_batches(batches, spare, out), schema)
 
 
 def hex_digits(fp: Column) -> Column:
@@ -113,17 +132,27 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints of ``fps`` (column fp) whose components equal those of all close pairs."""
+    """(a, b): links between distinct fingerprints of ``fps`` (column fp) whose components equal those of all close pairs.
+
+    Keys of at most SMALL fingerprints are verified by a self-join on the key in the JVM; larger ones by chunk-pair tasks
+    that keep a spanning forest of their verified pairs.
+    """
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])).alias("k"))
     keyed = keyed.select("fp", "k.block", "k.value")
     sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n"))
     sized = keyed.join(sizes.filter(F.col("n") > 1), ["block", "value"])
+    small = sized.filter(F.col("n") <= SMALL).select("block", "value", "fp")
+    x, y = small.alias("x"), small.alias("y")
+    same = (F.col("x.block") == F.col("y.block")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.fp") < F.col("y.fp"))
+    near = x.join(y, same).filter(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= DISTANCE)
+    direct = near.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    sized = sized.filter(F.col("n") > SMALL)
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)).cast("long")
     sized = sized.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
     paired = sized.select("block", "value", "fp", "chunk", other)
     paired = paired.select("block", "value", "fp", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    return paired.groupBy("block", "value", "lo", "hi").applyInPandas(_forest, "a long, b long")
+    return direct.unionByName(paired.groupBy("block", "value", "lo", "hi").applyInPandas(_forest, "a long, b long"))
 
 
 def components(docs: DataFrame) -> DataFrame:

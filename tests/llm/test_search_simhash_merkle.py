@@ -143,6 +143,7 @@ def test_simhash_equals_brute_force(spark):
 def test_simhash_split_hot_block(spark, monkeypatch):
     """A block value shared by more fingerprints than a task holds is split into chunk pairs; links stay whole."""
     monkeypatch.setattr(simhash, "GROUP", 4)
+    monkeypatch.setattr(simhash, "SMALL", 2)
     base = "one two three four five six seven eight nine ten eleven twelve".split()
     rows = [(i, " ".join(base[: 3 + i % 10] + [f"x{i}"])) for i in range(40)] + [(100, None), (101, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
