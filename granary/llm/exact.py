@@ -107,13 +107,21 @@ def dedup(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFrame:
             begin = low + k * step
             part = (F.col("doc_id") >= begin) & (F.col("doc_id") < begin + step)
             # rows without an id come first
-            index.add(digests.filter(part | F.col("doc_id").isNull() if k == 0 else part), f"{begin}-{begin + step}")
+            rows = digests.filter(part | F.col("doc_id").isNull() if k == 0 else part)
+            index.add(rows, f"{begin}-{begin + step}/{_checksum(rows)}")
     elif digests.limit(1).count():
-        index.add(digests, "no ids")
+        index.add(digests, f"no ids/{_checksum(digests)}")
     found = join_counted(digests, index.known(), "digest", "group_size")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
+def _checksum(rows: DataFrame) -> str:
+    """Count and sum of the hashes of a batch's (doc_id, digest) rows: another table under the same id range is another
+    batch, and a rerun of the same one is recognised."""
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "digest").cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"
+
+
 def buckets_for(spark: SparkSession) -> int:
     """As many buckets as the session has shuffle partitions, so that a batch is appended without another exchange."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -152,3 +152,18 @@ def test_native_plan(spark, sf_dir):
     for name in ("op6_decontaminate", "op9_exact_dedup"):
         plan = queries[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop")), name
+
+
+def test_index_takes_another_table_with_the_same_id_range(spark, tmp_path):
+    """A second table whose ids span the same range is a new batch: its new texts are added, none is lost."""
+    index = exact.DigestIndex(spark, str(tmp_path / "index"), 4)
+    frame = lambda rows: spark.createDataFrame(rows, DOC)
+    exact.dedup(frame([(1, "a"), (3, "b")]), index).collect()
+    second = {r.doc_id: r for r in exact.dedup(frame([(1, "a"), (2, "new"), (3, "b")]), index).collect()}
+    assert [(second[i].keep_id, second[i].kept) for i in (1, 2, 3)] == [(1, True), (2, True), (3, True)]
+    # a rerun of the same table is recognised and adds nothing
+    again = {r.doc_id: r for r in exact.dedup(frame([(1, "a"), (2, "new"), (3, "b")]), index).collect()}
+    assert {i: again[i].group_size for i in (1, 2, 3)} == {i: second[i].group_size for i in (1, 2, 3)}
+    # a table without ids is a batch of its own as well
+    lone = exact.dedup(frame([(None, "only here")]), index).collect()
+    assert [(r.keep_id, r.kept, r.group_size) for r in lone] == [(None, True, 1)]
