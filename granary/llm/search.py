@@ -30,6 +30,7 @@ from granary.llm.store import narrow
 
 # fixed values of the contract: the term pattern and the constants of the score
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the characters that TERM excludes
 K1000 = 1000
 B_FIXED, B_SCALED = 25, 75
 SCALE = 1_000_000_000
@@ -42,8 +43,10 @@ _BROADCAST_ROWS = 2_000_000
 
 
 def terms(text: Column) -> Column:
-    """The terms of a text, in order (an empty array for null)."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(f"({TERM})"), 1), F.array().cast("array<string>"))
+    """The terms of a text, in order (an empty array for null): the maximal matches of ``TERM``, found as the non-empty
+    pieces between runs of ``BETWEEN``, which splits several times faster than extracting the matches."""
+    pieces = F.split(F.translate(text, UPPER, LOWER), BETWEEN)
+    return F.coalesce(F.filter(pieces, lambda piece: piece != ""), F.array().cast("array<string>"))
 
 
 def _text_key(text: Column) -> Column:
@@ -54,26 +57,32 @@ def _text_key(text: Column) -> Column:
 def postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, int]:
     """(_id, _dkey, _copies, term, tf, m) for every occurrence of a ``vocabulary`` term in a document; with N and L.
 
-    N and L count all terms of all documents. Texts are never shuffled: rows that repeat a doc_id and text are counted
-    by their keys alone, and only the query terms of each text are dealt out.
+    N and L count all terms of all documents. Each text is split into terms once: a marker row (null term) per row
+    carries its number of terms beside the occurrences of query terms. Texts are never shuffled: rows that repeat a
+    doc_id and text are counted by their keys alone, and only the query terms of each text are dealt out.
     """
     rows = docs.select(F.col("doc_id").alias("_id"), _text_key(F.col("text")).alias("_dkey"), terms(F.col("text")).alias("_t"))
-    sizes = rows.groupBy("_id", "_dkey").agg(F.count(F.lit(1)).alias("_copies"), F.max(F.size("_t")).cast("long").alias("n"))
-    sizes = narrow(sizes, "search-sizes")
-    totals = sizes.filter(F.col("n") > 0).agg(F.sum("_copies").alias("N"), F.sum(F.col("n") * F.col("_copies")).alias("L")).first()
+    marked = rows.select("_id", "_dkey", F.size("_t").cast("long").alias("n"),
+                         F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("_t"))).alias("term"))
+    flagged = vocabulary.select("term", F.lit(True).alias("_q"))
+    if vocabulary.count() <= _BROADCAST_ROWS:
+        flagged = F.broadcast(flagged)
+    kept = marked.join(flagged, "term", "left").filter(F.col("term").isNull() | F.col("_q"))
+    counted = kept.groupBy("_id", "_dkey", "term").agg(F.count(F.lit(1)).alias("_occ"), F.max("n").alias("n"))
+    # copies of a row: the count of its marker; they add equal counts of each term, so the count of one is the quotient
+    row = Window.partitionBy("_id", "_dkey")
+    copies = F.max(F.when(F.col("term").isNull(), F.col("_occ"))).over(row)
+    post = counted.withColumn("_copies", copies).select("_id", "_dkey", "_copies", "term", "n",
+                                                        (F.col("_occ") / F.col("_copies")).cast("long").alias("tf"))
+    post = narrow(post, "search-postings")
+    totals = post.filter(F.col("term").isNull() & (F.col("n") > 0)).agg(
+        F.sum("_copies").alias("N"), F.sum(F.col("n") * F.col("_copies")).alias("L")).first()
     big_n, big_l = int(totals["N"] or 0), int(totals["L"] or 0)
     if big_n == 0:
         return None, 0, 0
-    if vocabulary.count() <= _BROADCAST_ROWS:
-        vocabulary = F.broadcast(vocabulary)
-    words = rows.select("_id", "_dkey", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
-    counted = words.groupBy("_id", "_dkey", "term").agg(F.count(F.lit(1)).alias("_occ"))
     m = F.lit(B_FIXED).cast("long") + F.expr(f"({B_SCALED}L * n * {big_n}L) div {big_l}L")
-    sizes = sizes.select(F.col("_id").alias("_sid"), F.col("_dkey").alias("_skey"), "_copies", m.alias("m"))
-    cond = counted["_id"].eqNullSafe(sizes["_sid"]) & (counted["_dkey"] == sizes["_skey"])
-    # copies of a row add equal counts, so the count of one is the quotient
-    sized = counted.join(sizes, cond).select("_id", "_dkey", "_copies", "term", (F.col("_occ") / F.col("_copies")).cast("long").alias("tf"), "m")
-    return narrow(sized, "search-postings"), big_n, big_l
+    sized = post.filter(F.col("term").isNotNull()).select("_id", "_dkey", "_copies", "term", "tf", m.alias("m"))
+    return sized, big_n, big_l
 
 
 def weights(post: DataFrame, big_n: int) -> DataFrame:

@@ -93,6 +93,15 @@ def test_search_ties_and_many_masks(spark):
     assert got == brute_search(rows, items)
 
 
+def test_terms_equal_the_pattern(spark):
+    """Splitting between terms gives the maximal matches of the term pattern, also for digits, non-ASCII and
+    supplementary characters, control characters, leading and trailing separators, empty and null texts."""
+    texts = ["", None, "  ", "A1b2,,C3__d\x00e\x7f", "\U0001F600x\U0001F600 \u00e9t\u00e9!", "-lead trail-", "\u65e5\u672c\u8a9e the", "x" * 70000]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+           .select(search.terms(F.col("text")).alias("t")).orderBy("i").collect()]
+    assert got == [TERM.findall(t.translate(LOWER)) if t is not None else [] for t in texts]
+
+
 def test_search_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
