@@ -130,8 +130,13 @@ def score_progress(df: DataFrame, n_buckets: int | None = None) -> DataFrame:
 
 
 def doc_depth(df: DataFrame, document: str = "doc") -> int:
-    """The deepest nesting of braces in any document, which no document's objects exceed."""
-    signs = F.split(F.regexp_replace(document, r"[^{}]", ""), "")
+    """The deepest nesting of braces in any document, which no document's objects exceed.
+
+    String literals are removed first (a quote, then anything but quotes and backslashes or an escaped character, then a
+    quote), so braces inside strings do not count; what is left of a valid document has braces only around objects.
+    """
+    bare = F.regexp_replace(document, r'"(?:[^"\\]|\\.)*"', '""')
+    signs = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
     step = lambda s, c: F.struct((s["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"), F.greatest(s["top"], s["now"] + 1).alias("top"))
     deepest = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda s: s["top"])
     return df.agg(F.max(deepest)).first()[0] or 1

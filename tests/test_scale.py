@@ -77,6 +77,59 @@ def test_documents_of_any_depth(spark):
     assert {r.path for r in runlog.doc_key_diff(docs).collect()} == {"/a/b/c/d/e/f", "/a/b/c/d/e/g"}
 
 
+def _brute_paths(doc, prefix=""):
+    out = set()
+    for key, value in doc.items():
+        out |= _brute_paths(value, f"{prefix}/{key}") if isinstance(value, dict) else {f"{prefix}/{key}"}
+    return out
+
+
+def test_key_diff_with_braces_inside_strings(spark):
+    """Closing braces inside strings, escaped quotes and a nesting of 12 levels: equal to a walk of the parsed documents."""
+    import json
+
+    deep = {"x": 1}
+    for level in range(11):
+        deep = {f"k{level}": deep, "s": "}}}{" if level % 2 else '\\"}'}
+    docs = [
+        (1, '{"a":"}}}","b":{"c":{"d":1}}}'),
+        (2, '{"e":"}}}","b":{"c":{"d":1}}}'),
+        (3, json.dumps(deep)),
+        (4, json.dumps({"q": 'say \\"}}\\" twice', "b": {"c": {"d": {"z": []}}}})),
+    ]
+    got = {(r.path, r.n_runs) for r in runlog.doc_key_diff(spark.createDataFrame(docs, "run int, doc string")).collect()}
+    paths = {run: _brute_paths(json.loads(doc)) for run, doc in docs}
+    every = set.intersection(*paths.values())
+    want = {(p, sum(p in found for found in paths.values())) for found in paths.values() for p in found if p not in every}
+    assert got == want
+    assert ("/k10/k9/k8/k7/k6/k5/k4/k3/k2/k1/k0/x", 1) in got
+
+
+def test_bin_arrays_refuse_uneven_rows(spark):
+    """Rows of 3, 2 and 4 values against 3 tables of cuts are refused; null arrays and values get the missing bin."""
+    from granary.operators import quantile
+
+    cuts = [[1.0], [2.0, 3.0], []]
+    uneven = spark.createDataFrame([([0.0, 1.0, 2.0],), ([5.0, 6.0],), ([1.0, 2.0, 3.0, 4.0],)], "v array<double>")
+    with pytest.raises(Exception, match="holds [24] values for 3 tables"):
+        uneven.select(quantile.bin_arrays(F.col("v"), cuts).alias("b")).collect()
+    even = spark.createDataFrame([([0.0, 2.5, 9.0],), (None,), ([None, 3.0, float("nan")],), ([1.0, 1.0, 1.0],)], "v array<double>")
+    got = [r.b for r in even.select(quantile.bin_arrays(F.col("v"), cuts).alias("b")).collect()]
+    m = quantile.MISSING
+    assert got == [[0, 1, 0], [m, m, m], [m, 2, m], [1, 0, 0]]
+
+
+def test_locate_keeps_points_outside_shards(spark):
+    """Offsets outside every shard, unknown batches and null offsets stay, with NULL shard and offset."""
+    from granary.operators import relate
+
+    manifest = spark.createDataFrame([(0, 0, 0, 10), (0, 1, 10, 25), (1, 0, 0, 5)], "batch_idx int, shard_idx int, shard_begin long, shard_end long")
+    points = spark.createDataFrame([(0, 3), (0, 10), (0, 24), (0, 25), (1, 4), (1, 7), (2, 0), (0, None)], "batch_idx int, offset long")
+    got = sorted((tuple(r) for r in relate.locate(points, manifest).collect()), key=repr)
+    want = [(0, 3, 0, 3), (0, 10, 1, 0), (0, 24, 1, 14), (0, 25, None, None), (1, 4, 0, 4), (1, 7, None, None), (2, 0, None, None), (0, None, None, None)]
+    assert got == sorted(want, key=repr)
+
+
 def test_written_tables_can_go(spark, tmp_path):
     stored = materialize(spark.range(5), "gone")
     discard(stored)
