@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,11 +81,22 @@ def collect_cuts(cuts: DataFrame, columns: Sequence) -> dict:
 
 
 def bin_arrays(features: Column, cuts: Sequence[Sequence[float]]) -> Column:
-    """Bins of an array column, as SMALLINT: for matrices too wide for one column per feature."""
+    """Bins of an array column, as SMALLINT: for matrices too wide for one column per feature.
+
+    Every array must hold one value per table of cuts; a row of another length is refused (ValueError), not re-cut into
+    rows of that width. A null array gets the missing bin for every feature, as does a null or NaN value.
+    """
     tables = [np.asarray(c, dtype=np.float64) for c in cuts]
+    width = len(tables)
 
     def bins(values: pa.Array) -> pa.Array:
-        x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+        absent = values.is_null().to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(values).to_numpy(zero_copy_only=False)
+        wrong = ~absent & (np.nan_to_num(lengths.astype(np.float64), nan=width) != width)
+        if wrong.any():
+            raise ValueError(f"bin_arrays: a row holds {int(lengths[np.flatnonzero(wrong)[0]])} values for {width} tables of cuts")
+        x = np.full((len(values), width), np.nan)
+        x[~absent] = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
         out = np.empty(x.shape, dtype=np.int16)
         for j, table in enumerate(tables):
             out[:, j] = np.searchsorted(table, x[:, j], side="right")
