@@ -36,11 +36,16 @@ def count_orphans(x: DataFrame, y: DataFrame, keys: Sequence[str] = ("batch_idx"
     )
 
 
+LOCATE_BROADCAST_BATCHES = 1_000_000
+
+
 def locate(points: DataFrame, manifest: DataFrame, at: str = "offset", batch: str = "batch_idx") -> DataFrame:
-    """Find the shard of each offset and the offset inside it.
+    """Find the shard of each offset and the offset inside it; every point is kept.
 
-    The manifest is first folded to one row per batch with its shard starts as an array, so
-    the lookup is an equi-join plus a search in a short array rather than a range join.
+    The manifest is first folded to one row per batch with its shard starts as an array, so the lookup is an equi-join
+    plus a search in a short array rather than a range join. Up to ``LOCATE_BROADCAST_BATCHES`` batches (counted) the
+    folded manifest is broadcast and the points are not shuffled; beyond, both sides are joined by batch. A point of an
+    unknown batch, a null offset or an offset outside all shards of its batch gets NULL shard_idx and in_shard.
     """
     starts = manifest.groupBy(batch).agg(
         F.sort_array(
@@ -49,9 +54,11 @@ def locate(points: DataFrame, manifest: DataFrame, at: str = "offset", batch: st
             )
         ).alias("shards")
     )
-    joined = points.join(starts, batch, "inner")
+    if starts.count() <= LOCATE_BROADCAST_BATCHES:
+        starts = F.broadcast(starts)
+    joined = points.join(starts, batch, "left")
     hit = F.filter("shards", lambda s: (s["begin"] <= F.col(at)) & (F.col(at) < s["end"]))
-    joined = joined.withColumn("hit", F.get(hit, F.lit(0))).where(F.col("hit").isNotNull())
+    joined = joined.withColumn("hit", F.get(hit, F.lit(0)))
     return joined.select(
         *points.columns,
         F.col("hit.shard_idx").alias("shard_idx"),
