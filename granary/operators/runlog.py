@@ -92,9 +92,18 @@ def compare_grid(df: DataFrame, encodings: list[str]) -> DataFrame:
     return df.groupBy("library").pivot("encoding", encodings).agg(F.avg(F.abs("score")))
 
 
+SIZES_BROADCAST_KEYS = 1_000_000
+
+
 def latency_summary(df: DataFrame, key: str, order: str, seconds: str, n_buckets: int | None = None) -> DataFrame:
-    """Per key: mean latency after the first half of the calls is dropped as warm-up."""
+    """Per key: mean latency after the first half of the calls is dropped as warm-up.
+
+    The calls per key are one row per key; up to ``SIZES_BROADCAST_KEYS`` keys (counted) they are broadcast to the
+    ranked calls, so a key that holds a third of all calls is not gathered in one task by the join.
+    """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_calls"))
+    if sizes.count() <= SIZES_BROADCAST_KEYS:
+        sizes = F.broadcast(sizes)
     ranked = running(df.select(key, order, seconds), [key], [order], {"at": ("count", F.lit(1))}, n_buckets)
     kept = ranked.join(sizes, key).where(F.col("at") > int_div(F.col("n_calls"), 2))
     return kept.groupBy(key).agg(
