@@ -23,10 +23,13 @@ take several ranks. A null doc_id is ranked after every id among equal scores. Q
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.store import narrow
+from granary.session import scratch_path
 
 # fixed values of the contract: the term pattern and the constants of the score
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,7 +77,7 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, in
     copies = F.max(F.when(F.col("term").isNull(), F.col("_occ"))).over(row)
     post = counted.withColumn("_copies", copies).select("_id", "_dkey", "_copies", "term", "n",
                                                         (F.col("_occ") / F.col("_copies")).cast("long").alias("tf"))
-    post = narrow(post, "search-postings")
+    post = _by_row(post, "search-postings")
     totals = post.filter(F.col("term").isNull() & (F.col("n") > 0)).agg(
         F.sum("_copies").alias("N"), F.sum(F.col("n") * F.col("_copies")).alias("L")).first()
     big_n, big_l = int(totals["N"] or 0), int(totals["L"] or 0)
@@ -85,6 +88,19 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, in
     return sized, big_n, big_l
 
 
+def _by_row(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder in as many buckets of (_id, _dkey) as there are shuffle partitions.
+
+    ``df`` already comes partitioned so (by the window over rows), so each task writes its own buckets; reading the table
+    back keeps that partitioning, and the sums per (query, row) of the hits need no exchange of the hits.
+    """
+    spark = df.sparkSession
+    name = f"search_postings_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, "_id", "_dkey").option("path", scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def weights(post: DataFrame, big_n: int) -> DataFrame:
     """(term, w) with w = floor(1000 ln((2N + 2) / (2 df + 1)))."""
     df = post.groupBy("term").agg(F.sum("_copies").alias("df"))

@@ -102,6 +102,24 @@ def test_terms_equal_the_pattern(spark):
     assert got == [TERM.findall(t.translate(LOWER)) if t is not None else [] for t in texts]
 
 
+def test_search_sums_hits_without_an_exchange(spark, monkeypatch):
+    """The postings are written in buckets of rows, so the hits of a row are summed per query where they are read."""
+    plans = {}
+    keep = search.narrow
+
+    def spy(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, label)
+
+    monkeypatch.setattr(search, "narrow", spy)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    search.search(rows_of(spark), items).collect()
+    scored = plans["search-scored"]
+    above_scan = scored.split("search_postings_")[0]
+    assert "Bucketed: true" in scored and "Exchange hashpartitioning(_item" not in scored
+    assert "BroadcastHashJoin" in above_scan
+
+
 def test_search_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
