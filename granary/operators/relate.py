@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -95,16 +95,26 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+def bag_difference(a: DataFrame, b: DataFrame, left_sums: dict[str, Column] | None = None) -> DataFrame:
     """One row: how many rows each side has beyond the other, counting duplicates.
 
     Both sides are grouped together with a signed count, which needs one shuffle and combines
-    repeated rows before it.
+    repeated rows before it. ``left_sums`` adds, per name, the sum over all rows of ``a`` of an
+    expression of its columns (0 for an empty ``a``), taken in the same aggregation.
     """
     columns = a.columns
-    signed = a.withColumn("__n", F.lit(1)).unionByName(b.select(*columns).withColumn("__n", F.lit(-1)))
-    net = signed.groupBy(*columns).agg(F.sum("__n").alias("__n"))
+    if not left_sums:
+        signed = a.withColumn("__n", F.lit(1)).unionByName(b.select(*columns).withColumn("__n", F.lit(-1)))
+        net = signed.groupBy(*columns).agg(F.sum("__n").alias("__n"))
+        extra = []
+    else:
+        signed = a.withColumns({"__n": F.lit(1), "__a": F.lit(1)}).unionByName(
+            b.select(*columns).withColumns({"__n": F.lit(-1), "__a": F.lit(0)})
+        )
+        net = signed.groupBy(*columns).agg(F.sum("__n").alias("__n"), F.sum("__a").alias("__a"))
+        extra = [F.coalesce(F.sum(F.col("__a") * e), F.lit(0)).alias(name) for name, e in left_sums.items()]
     return net.agg(
         F.coalesce(F.sum(F.greatest(F.col("__n"), F.lit(0))), F.lit(0)).alias("only_left"),
         F.coalesce(F.sum(F.greatest(-F.col("__n"), F.lit(0))), F.lit(0)).alias("only_right"),
+        *extra,
     ).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))

@@ -158,13 +158,17 @@ def _(t: Tables):
 
 @query(
     "gen_batch_invariance",
-    "SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, TRUE AS equal",
+    f"SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, TRUE AS equal, count(DISTINCT row_id) AS n_rows, "
+    f"round(sum({VALUE}), 3) AS total FROM ({cells_sql()})",
 )
 def _(t: Tables):
-    """Batches of 1024 and of 2048 rows hold the same cells and labels."""
+    """Batches of 1024 and of 2048 rows hold the same cells and labels; with the number of rows and the sum of all cells."""
+    from granary.operators.profile import array_sum
+
     a = synth.batches(rows(t), 1024, COLS, n_targets=3).select("row_id", "features", "labels")
     b = synth.batches(rows(t), 2048, COLS, n_targets=3).select("row_id", "features", "labels")
-    return bag_difference(a, b)
+    sums = {"n_rows": F.lit(1).cast("long"), "total": array_sum(F.col("features"))}
+    return bag_difference(a, b, sums).withColumn("total", F.round("total", 3))
 
 
 @query(
