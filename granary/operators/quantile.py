@@ -45,8 +45,11 @@ def exact_cuts(df: DataFrame, columns: Sequence[str] | str, max_bin: int = MAX_B
     counts = _cells(df, columns).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
     upto = running(counts, ["feature"], ["value"], {"upto": ("sum", F.col("n"))}, n_buckets)
-    # one row per feature: the one side here whose size is known to be small
-    upto = upto.join(F.broadcast(totals), "feature")
+    # one row per feature: broadcast when the features are named (their number bounds it); the positions of an array
+    # column are known only from the data, so that join is left to adaptive execution, which broadcasts by measured size
+    if not isinstance(columns, str):
+        totals = F.broadcast(totals)
+    upto = upto.join(totals, "feature")
     bins = F.lit(max_bin)
     reached = F.least(int_div(F.col("upto") * bins, F.col("total")), bins - F.lit(1))
     before = int_div((F.col("upto") - F.col("n")) * bins, F.col("total"))
