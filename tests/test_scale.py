@@ -1,10 +1,13 @@
 """Edge cases of training, splits, striped tables and documents that small tables don't show."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import runlog, split
+from granary import plans
+from granary.operators import boost, quantile, runlog, split, train
 from granary.operators.train import train_gbt
+from granary.plans import boosting
 from granary.session import discard, materialize
 from granary.sources import striped
 
@@ -153,3 +156,53 @@ def test_trips_by_header(spark, tmp_path):
     )
     df, _ = datasets.dataset(spark, "taxi", str(tmp_path))
     assert sorted((r["fare_amount"], r["part"]) for r in df.select("fare_amount", "part").collect()) == [(12.5, "train"), (20.0, "test")]
+
+
+def test_cuts_read_their_rows_once(spark):
+    """The steps of exact cuts work on written counts, not on the rows again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(500).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    cuts = quantile.collect_cuts(quantile.exact_cuts(df.mapInArrow(counted, df.schema), ["x", "y"], 4, n_buckets=3), ["x", "y"])
+    assert cuts == {"x": [124.0, 249.0, 374.0], "y": [1.0, 3.0, 5.0]} and read.value == 500
+
+
+def test_binned_rows_are_blocks(spark):
+    """A few rows of arrays go to Python in each pass, not one row per row."""
+    data = rows(spark, [float(i % 101) for i in range(9000)]).coalesce(2)
+    blocks, cuts, _ = train.bin_table(data, ["f1", "f2"], None, ["y"], train.Params.of(FEW), None, None, [], True)
+    found = blocks.collect()
+    assert sum(r.n for r in found) == 9000 and len(found) < 10 and max(r.n for r in found) <= train.BLOCK_ROWS
+    job = {"n_features": 2, "n_labels": 1}
+    got = sorted((int(b[0]), int(b[1]), y[0]) for r in found for b, y in zip(train._arrays(r.asDict(), job)["bins"], train._arrays(r.asDict(), job)["labels"], strict=True))
+    place = lambda v, f: sum(c <= v for c in cuts[f])
+    assert got == sorted((place(i % 37, "f1"), place(i % 11, "f2"), float(i % 101)) for i in range(9000))
+
+
+def test_row_samples_are_those_of_spark(spark):
+    ids = [0, 1, -1, 2**31 - 1, 2**40, -(2**62), 2**63 - 1, -(2**63), *(i * 7919 - 5000 for i in range(300))]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    want = [r[0] for r in df.coalesce(1).select(boost.subsample_keep(F.col("id"), 3, 1, 0.5, 7)).collect()]
+    assert boost.subsample_kept(np.array(ids), 3, 1, 0.5, 7).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["train_partition_invariance", "train_gbt_multi", "model_roundtrip", "predict_gbt"])
+def test_training_queries_join_once(spark, sf_dir, monkeypatch, name):
+    """What is trained on is a written table: reading it again does not make its join again."""
+
+    class Seen(Exception):
+        pass
+
+    def stop(df, *args, **kwargs):
+        raise Seen(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(boosting, "train_gbt", stop)
+    with pytest.raises(Seen) as found:
+        plans.load()
+        plans.QUERIES[name](spark, sf_dir)
+    assert "Join" not in str(found.value) and "Scan parquet" in str(found.value)
