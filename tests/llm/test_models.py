@@ -91,6 +91,36 @@ def test_toxicity_learns(spark):
     assert list(found.columns) == ["doc_id", "text", "lang", "toxic", "score"]
 
 
+def test_thresholds_come_from_every_row(spark):
+    rng = random.Random(8)
+    rows = [(lang, round(rng.gauss(1.0 if toxic else -1.0, 1.0), 1), toxic) for lang in ("en", "de") for toxic in (0, 0, 0, 1) for _ in range(700)]
+    rows += [("fr", float(k), k % 2) for k in range(9)]
+    found = toxic.thresholds(spark.createDataFrame(rows, "lang string, logit double, toxic int").repartition(5))
+
+    def brute(own):
+        at = sorted({x for _, x, _ in own}, reverse=True)
+        share = [1.25 * sum(t for _, x, t in own if x >= a) / (sum(x >= a for _, x, _ in own) + 0.25 * sum(t for *_, t in own)) for a in at]
+        k = share.index(max(share))
+        return (at[k] + (at[k + 1] if k + 1 < len(at) else at[k] - 1)) / 2
+
+    assert found == pytest.approx({"": brute(rows), **{lang: brute([r for r in rows if r[0] == lang]) for lang in ("en", "de")}})
+
+
+def test_every_labelled_text_is_learned(spark, monkeypatch):
+    """Shards far smaller than the table: each word of any labelled text that is taught moves its embedding or its shard's net."""
+    monkeypatch.setattr(toxic, "SHARD_ROWS", 64)
+    rows = [(i, f"own{i} " + ("vile" if i % 3 == 0 else "fair") + " words", "en" if i % 2 else "de", int(i % 3 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    seen = []
+    kept = toxic._round
+    monkeypatch.setattr(toxic, "_round", lambda taught, shards, net, r: seen.append((shards, taught.count())) or kept(taught, shards, net, r))
+    model = toxic.fit(docs, docs.select("doc_id", "toxic"))
+    n = [sum(i % 3 == 0 for i in range(400)), sum(i % 3 != 0 for i in range(400))]
+    assert seen == [(7, 400 - sum(-(-k // 4) for k in n))] * toxic.ROUNDS
+    found = toxic.with_scores(docs, model, "score").toPandas()
+    assert ((found.score >= 0.5) == (found.toxic == 1)).mean() > 0.95
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "en"), (2, None, None)], "doc_id long, text string, lang string")
     model = toxic.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
