@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from granary import llm
 from granary.llm import langid, ppm, toxic
@@ -121,6 +122,49 @@ def test_every_labelled_text_is_learned(spark, monkeypatch):
     assert ((found.score >= 0.5) == (found.toxic == 1)).mean() > 0.95
 
 
+def test_little_is_written_for_learning(spark, monkeypatch):
+    """What is written and dealt out is the texts, not their slots, and of a shard's change the embeddings that it met."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=400)) + (" vile" if i % 3 == 0 else ""), "en", int(i % 3 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    written, kept = {}, toxic.materialize
+
+    def noted(df, label, **options):
+        out = kept(df, label, **options)
+        written[label] = out.select(*[F.sum(F.length(F.col(c).cast("binary")) if kind in ("string", "binary") else F.lit(8)).alias(c) for c, kind in out.dtypes]).first()
+        return out
+
+    monkeypatch.setattr(toxic, "materialize", noted)
+    toxic.fit(docs, docs.select("doc_id", "toxic"))
+    text = sum(len(r[1]) for r in rows)
+    assert sum(written["toxic-rows"]) < 1.1 * text
+    before = toxic.ConvNet.fresh(1)
+    after = toxic.ConvNet.fresh(1)
+    after.embed[[5, 9, 60_000]] += 1
+    changes = {key: (total, weight) for key, total, weight in toxic._changes(before, after)}
+    assert sum(total.nbytes for total, _ in changes.values()) < 8 * (after.filters.size + 1000)
+    assert {key: int(weight.sum()) for key, (_, weight) in changes.items()} == {"embed\t0": 2, "embed\t57344": 1, "net": 1}
+
+
+def test_more_ids_than_are_broadcast(spark, monkeypatch):
+    """Beyond the number of ids that are broadcast the scores are the same, and few texts without a label are dealt out for the join."""
+    rows = [(7 * i, ("vile " if i % 4 == 0 else "fair ") + f"words of {i}", "en", int(i % 4 == 0)) for i in range(4000)]
+    rows += [(None, "vile words", "en", 1), (7, "fair copy of an id", None, 0), (14, None, "en", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    labels = docs.where("doc_id % 3 = 0").select("doc_id", "toxic")
+    ids = labels.distinct()
+    met = toxic._likely(docs.select("doc_id", "text"), ids, ids.count())
+    assert met.join(ids, "doc_id").count() == docs.join(ids, "doc_id").count()
+    assert met.columns == ["doc_id", "text"] and met.join(ids, "doc_id", "left_anti").count() < 0.08 * len(rows)
+    scores = []
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(toxic, "MOST_BROADCAST", most)
+        found = toxic.with_scores(docs, toxic.fit(docs, labels), "score")
+        scores.append(sorted(found.select(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")), "score").collect()))
+    assert scores[0] == scores[1]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "en"), (2, None, None)], "doc_id long, text string, lang string")
     model = toxic.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
