@@ -3,12 +3,13 @@
 A seed is a window of tokens of which a fixed mask keeps some; the positions it ignores may differ. The masks depend on the
 length of the item (``SEEDS``) and miss no overlap that counts: tests lay them over every substitution pattern.
 Seeds of the benchmark and of the documents meet by hash, and each hit gives a diagonal (document
-position minus item position). On the diagonal the whole item is laid over the document: the pair counts as
-contaminated when some ``WINDOW`` consecutive aligned tokens (all of a shorter item) agree in at least ``AGREE`` of
+position minus item position). The diagonals are written without the texts; then each document that has some is read once more,
+and on each diagonal the whole item is laid over the part of the document that it covers: no row but that of a document holds all
+its tokens, so memory does not grow with the hits of a document times its length. The pair counts as contaminated when some ``WINDOW`` consecutive aligned tokens (all of a shorter item) agree in at least ``AGREE`` of
 their places, so substituted words don't hide a passage.
 
 Tokens are runs of letters and digits, lower-cased. Items of four tokens or fewer are found as they stand, so an item of one
-token is in every document with that token. Null or empty texts have no tokens. Documents are told apart by id and text, so repeated or
+token is in every document with that token. Items of equal tokens are looked for once. Null or empty texts have no tokens. Documents are told apart by id and text, so repeated or
 null ids are safe.
 """
 
@@ -70,28 +71,43 @@ def _item_seeds(items: DataFrame) -> tuple[DataFrame, list[str]]:
     by_masks: dict[tuple[str, ...], list[int]] = {}
     for length in sorted(lengths):
         by_masks.setdefault(masks_for(length), []).append(length)
-    out = items.select("item_id", F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("seed")).limit(0)
+    columns = ["item_key", "n_item", "item_at", "seed"]
+    out = items.select("item_key", n.alias("n_item"), F.lit(0).alias("item_at"), F.lit(0).cast("long").alias("seed")).limit(0)
     for masks, own in by_masks.items():
-        some = items.filter(F.least(n, F.lit(max(SEEDS))).isin(own))
-        out = out.unionByName(_seeds(some, "item_at", list(masks)).select("item_id", "item_at", "seed"))
+        some = items.filter(F.least(n, F.lit(max(SEEDS))).isin(own)).withColumn("n_item", n)
+        out = out.unionByName(_seeds(some, "item_at", list(masks)).select(*columns))
     return out.distinct(), sorted({m for masks in by_masks for m in masks})
 
 
-def _aligned(rows: DataFrame) -> DataFrame:
-    """Item tokens ``g`` laid over document tokens ``h`` along ``diagonal``: one row per pair and diagonal, and whether each aligned place agrees."""
-    pair = ["doc_id", "text_key", "item_id", "diagonal"]
+def _parts(docs: DataFrame, hits: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The tokens that an item covers in a document, for each of ``hits``, a written table: one row per hit.
+
+    Documents with hits get them as one row; its tokens are cut where the hits are taken apart, before a row is handed on.
+    """
+    laid = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_key", "n_item", "diagonal")).alias("laid"))
+    laid = (F.broadcast(laid) if hits.count() <= broadcast_rows else laid).alias("laid")
+    docs = docs.alias("docs")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("laid.doc_id")) & (F.col("docs.text_key") == F.col("laid.text_key"))
+    rows = docs.join(laid, same).select("docs.doc_id", "docs.text_key", tokens(F.col("docs.text")).alias("h"), "laid.laid")
+    rows = rows.select("doc_id", "text_key", "h", F.inline("laid"))
     skip = F.greatest(F.lit(0), -F.col("diagonal"))
-    n_aligned = F.least(F.size("g") - skip, F.size("h") - F.col("diagonal") - skip)
-    ours = F.slice("h", F.col("diagonal") + skip + 1, n_aligned)
-    theirs = F.slice("g", skip + 1, n_aligned)
-    same = F.zip_with(ours, theirs, lambda a, b: a == b)
-    rows = rows.select(*pair, F.size("g").alias("n_item"), same.alias("same"))
+    n_aligned = F.least(F.col("n_item") - skip, F.size("h") - F.col("diagonal") - skip)
+    part = F.slice("h", F.col("diagonal") + skip + 1, F.greatest(n_aligned, F.lit(0)))
+    return rows.select("doc_id", "text_key", "item_key", "n_item", "diagonal", part.alias("part"))
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    """Item tokens ``g`` laid over the ``part`` that they cover along ``diagonal``: one row per pair and diagonal, and whether each aligned place agrees."""
+    pair = ["doc_id", "text_key", "item_key", "diagonal"]
+    theirs = F.slice("g", F.greatest(F.lit(0), -F.col("diagonal")) + 1, F.size("part"))
+    same = F.zip_with("part", theirs, lambda a, b: a == b)
+    rows = rows.select(*pair, "n_item", same.alias("same"))
     return rows.groupBy(*pair).agg(F.first("n_item").alias("n_item"), F.first("same").alias("same"))
 
 
 def _agreement(aligned: DataFrame) -> DataFrame:
     """The agreement of each diagonal's best window. Windows run over one item's length."""
-    pair = ["doc_id", "text_key", "item_id", "diagonal"]
+    pair = ["doc_id", "text_key", "item_key", "diagonal"]
     width = F.least(F.lit(WINDOW), F.col("n_item"))
     places = aligned.select(*pair, "n_item", F.posexplode("same").alias("at", "equal")).withColumn("equal", F.col("equal").cast("int"))
     along = Window.partitionBy(*pair).orderBy("at")
@@ -105,30 +121,31 @@ def _agreement(aligned: DataFrame) -> DataFrame:
     return found.filter(F.col("best") >= F.ceil(width * AGREE))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Pairs of document and benchmark item that overlap.
 
     One row per (doc_id, text_key, item_id): where the item would begin in the document (in tokens), its
     length, the aligned tokens, the equal ones among them, and the equal ones of the best window.
     """
     text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    ours = docs.select("doc_id", text_key.alias("text_key"), tokens(F.col("text")).alias("h"))
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("h"))
-    theirs, masks = _item_seeds(items)
-    masks = masks or list(SEEDS[max(SEEDS)])
-    whole = items.filter(F.size("h") > 0).select("item_id", F.col("h").alias("g")).distinct()
+    docs = docs.select("doc_id", text_key.alias("text_key"), "text")
+    items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("h")).filter(F.size("h") > 0)
+    items = narrow(items.distinct().withColumn("item_key", F.xxhash64("h")), "items")
+    whole = items.select("item_key", "h").distinct()
+    theirs, masks = _item_seeds(whole)
+    theirs, masks = narrow(theirs, "item-seeds"), masks or list(SEEDS[max(SEEDS)])
+    few = theirs.count() <= broadcast_seeds
+    places = _seeds(docs.select("doc_id", "text_key", tokens(F.col("text")).alias("h")), "doc_at", masks)
+    places = places.select("doc_id", "text_key", "doc_at", "seed")
+    hits = places.join(F.broadcast(theirs) if few else theirs, "seed")
+    hits = hits.select("doc_id", "text_key", "item_key", "n_item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
+    parts = _parts(docs, narrow(hits, "hits"), broadcast_rows)
+    whole = whole.withColumnRenamed("h", "g")
+    found = _agreement(_aligned(parts.join(F.broadcast(whole) if few else whole, "item_key")))
     pair = ["doc_id", "text_key", "item_id"]
-    diagonal = (F.col("doc_at") - F.col("item_at")).alias("diagonal")
-    if theirs.count() <= broadcast_seeds:
-        hits = _seeds(ours, "doc_at", masks).join(F.broadcast(theirs), "seed").select(*pair, "h", diagonal)
-        found = hits.join(F.broadcast(whole), "item_id")
-    else:
-        hits = _seeds(ours, "doc_at", masks).select("doc_id", "text_key", "doc_at", "seed").join(theirs, "seed")
-        hits = hits.select(*pair, diagonal).distinct().alias("hits")
-        back = ours.distinct().alias("ours")
-        same = F.col("hits.doc_id").eqNullSafe(F.col("ours.doc_id")) & (F.col("hits.text_key") == F.col("ours.text_key"))
-        found = hits.join(back, same).select("hits.*", "ours.h").join(whole, "item_id")
-    found = _agreement(_aligned(found))
+    found = found.join(items.select("item_id", "item_key"), "item_key")
     best = F.max(F.struct("best", "n_matched", "n_aligned", -F.col("diagonal"), F.col("n_item").alias("n_item"))).alias("top")
     return found.groupBy(*pair).agg(best).select(
         *pair, (-F.col("top.col4")).cast("int").alias("doc_begin"), F.col("top.n_item").alias("n_item"),

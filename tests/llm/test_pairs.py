@@ -2,7 +2,11 @@
 
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -145,6 +149,38 @@ def test_overlaps_that_fixed_masks_missed(spark, seeds):
     assert {(r.doc_id, r.item_id) for r in found} == want
 
 
+PERIODIC = """
+from granary.session import local_session
+from granary.llm import decontam
+spark = local_session(cores=1, shuffle_partitions=2)
+item = [f"w{k}" for k in range(40)]
+docs = spark.createDataFrame([(1, " ".join(["before", *item * 400])), (2, "nothing of it")], "doc_id long, text string")
+bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item))], "item_id long, text string")
+found = decontam.contaminated(docs, bench, SEEDS).orderBy("item_id").collect()
+print("FOUND", [(r.doc_id, r.item_id, r.n_item, r.n_aligned, r.n_matched, r.best, r.doc_begin % 40) for r in found])
+"""
+
+
+@pytest.mark.parametrize("seeds", [10**6, 0])
+def test_many_hits_in_a_long_document_need_little_memory(seeds):
+    """16,001 tokens and some 96,000 seed hits: with the tokens of the whole document in the row of each hit these are 12 GB."""
+    env = os.environ | {"GRANARY_DRIVER_MEMORY": "700m", "PYTHONPATH": str(Path(__file__).parents[2])}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    run = subprocess.run([sys.executable, "-c", PERIODIC.replace("SEEDS", str(seeds))], env=env, capture_output=True, text=True, timeout=240)
+    assert "FOUND [(1, 1, 40, 40, 40, 16, 1), (1, 2, 40, 40, 40, 16, 1)]" in run.stdout, run.stderr[-2000:]
+
+
+def test_equal_items_and_one_id_for_two_texts(spark):
+    """Items of equal tokens are all named; of two texts under one id the better one counts."""
+    other = " ".join(f"o{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, ITEM), (2, ITEM.upper()), (3, other), (3, ITEM), (None, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {changed(ITEM, 2)}"), (1, f"x {changed(ITEM, 2)}"), (None, ITEM), (2, f"y y {other} {changed(ITEM, 1, 5)}")], DOC)
+    found = decontam.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.doc_begin, r.n_matched) for r in found) == [
+        (0, 1, 0, 20), (0, 2, 0, 20), (0, 3, 0, 20), (1, 1, 1, 19), (1, 2, 1, 19), (1, 3, 1, 19), (2, 1, 22, 18), (2, 2, 22, 18), (2, 3, 2, 20),
+    ]
+
+
 def test_native_plan(spark, sf_dir):
     from granary import llm
 
