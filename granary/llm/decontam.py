@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.store import narrow
@@ -96,29 +96,27 @@ def _parts(docs: DataFrame, hits: DataFrame, broadcast_rows: int) -> DataFrame:
     return rows.select("doc_id", "text_key", "item_key", "n_item", "diagonal", part.alias("part"))
 
 
-def _aligned(rows: DataFrame) -> DataFrame:
-    """Item tokens ``g`` laid over the ``part`` that they cover along ``diagonal``: one row per pair and diagonal, and whether each aligned place agrees."""
-    pair = ["doc_id", "text_key", "item_key", "diagonal"]
-    theirs = F.slice("g", F.greatest(F.lit(0), -F.col("diagonal")) + 1, F.size("part"))
-    same = F.zip_with("part", theirs, lambda a, b: a == b)
-    rows = rows.select(*pair, "n_item", same.alias("same"))
-    return rows.groupBy(*pair).agg(F.first("n_item").alias("n_item"), F.first("same").alias("same"))
-
+def _agreement(rows: DataFrame) -> DataFrame:
+    """Item tokens ``g`` laid over the ``part`` that they cover along ``diagonal``: how many agree, and how many in the best window.
 
-def _agreement(aligned: DataFrame) -> DataFrame:
-    """The agreement of each diagonal's best window. Windows run over one item's length."""
-    pair = ["doc_id", "text_key", "item_key", "diagonal"]
+    One pass along the aligned tokens keeps the last ``WINDOW`` of them as bits; only diagonals that count are handed on.
+    """
     width = F.least(F.lit(WINDOW), F.col("n_item"))
-    places = aligned.select(*pair, "n_item", F.posexplode("same").alias("at", "equal")).withColumn("equal", F.col("equal").cast("int"))
-    along = Window.partitionBy(*pair).orderBy("at")
-    # items shorter than WINDOW count as a whole, which the same frame holds
-    sums = places.withColumn("in_window", F.sum("equal").over(along.rowsBetween(1 - WINDOW, 0)))
-    whole = F.max(F.when(F.col("at") + 1 >= width, F.col("in_window")))
-    found = sums.groupBy(*pair).agg(
-        F.first("n_item").alias("n_item"), F.count(F.lit(1)).cast("int").alias("n_aligned"),
-        F.sum("equal").cast("int").alias("n_matched"), whole.cast("int").alias("best"),
+    theirs = F.slice("g", F.greatest(F.lit(0), -F.col("diagonal")) + 1, F.size("part"))
+    same = F.zip_with("part", theirs, lambda a, b: (a == b).cast("int"))
+    state = lambda bits, at, n, best: F.struct(bits.alias("bits"), at.alias("at"), n.alias("n"), best.alias("best"))
+
+    def step(x: Column, equal: Column) -> Column:
+        bits = F.shiftleft(x["bits"], 1).bitwiseOR(equal).bitwiseAND((1 << WINDOW) - 1)
+        # an item shorter than WINDOW counts as a whole, which the same bits hold
+        best = F.when(x["at"] + 1 >= width, F.greatest(x["best"], F.bit_count(bits))).otherwise(x["best"])
+        return state(bits, x["at"] + 1, x["n"] + equal, best)
+
+    found = rows.withColumn("run", F.aggregate(same, state(F.lit(0), F.lit(0), F.lit(0), F.lit(-1)), step))
+    return found.filter(F.col("run.best") >= F.ceil(width * AGREE)).select(
+        "doc_id", "text_key", "item_key", "diagonal", "n_item",
+        F.col("run.at").alias("n_aligned"), F.col("run.n").alias("n_matched"), F.col("run.best").alias("best"),
     )
-    return found.filter(F.col("best") >= F.ceil(width * AGREE))
 
 
 def contaminated(
@@ -143,7 +141,7 @@ def contaminated(
     hits = hits.select("doc_id", "text_key", "item_key", "n_item", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
     parts = _parts(docs, narrow(hits, "hits"), broadcast_rows)
     whole = whole.withColumnRenamed("h", "g")
-    found = _agreement(_aligned(parts.join(F.broadcast(whole) if few else whole, "item_key")))
+    found = _agreement(parts.join(F.broadcast(whole) if few else whole, "item_key"))
     pair = ["doc_id", "text_key", "item_id"]
     found = found.join(items.select("item_id", "item_key"), "item_key")
     best = F.max(F.struct("best", "n_matched", "n_aligned", -F.col("diagonal"), F.col("n_item").alias("n_item"))).alias("top")
